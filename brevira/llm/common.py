@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C55
@@ -109,3 +112,24 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + words[j : j + n]
     return mix(out)
+
+
+def add_columns(df: DataFrame, inputs: list[str], ddl: str, make) -> DataFrame:
+    """``df`` with the columns of ``ddl``, made in Python from whole Arrow batches; columns of the same name are replaced.
+
+    ``make()`` runs once per task and returns a function from one list per input column to one list per new column.
+    All other columns pass through as Arrow arrays, untouched.
+    """
+    new = StructType.fromDDL(ddl)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in inputs or c not in new.names])
+    over = [c for c in df.columns if c not in new.names]
+    types = [f.type for f in to_arrow_schema(new)]
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            made = f(*[b.column(c).to_pylist() for c in inputs])
+            arrays = [pa.array(x, t) for x, t in zip(made, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in over), *arrays], names=[*over, *new.names])
+
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in over), *new.fields]))

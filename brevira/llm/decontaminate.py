@@ -17,16 +17,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, word_hashes
+from .common import add_columns, grams, word_hashes
 
 SPAN = 10
 K = 4
 #: Bytes of benchmark text that one broadcast block holds; larger benchmarks take several passes.
 BLOCK_BYTES = 16 << 20
+COLUMNS = "_n_words long, _hits array<struct<s:int,e:int>>, _items array<string>"
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -132,26 +132,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     once; items without words match nothing; a null item id is called "null". Other columns pass through,
     except that the three output names replace columns of the same name.
     """
-    docs = docs.drop("_n_words", "_hits", "_items")
-    names = docs.columns
-    out = docs.selectExpr(*[f"`{c}`" for c in names], "0L as _n_words", "cast(array() as array<struct<s:int,e:int>>) as _hits", "cast(array() as array<string>) as _items")
-    schema = out.schema
-    for items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
+    out = docs
+    for at, items in enumerate(blocks_of(benchmark, item_col, item_text_col, block_bytes)):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches, sent=sent):
+        def make(sent=sent, at=at):
             index = Index(sent.value, span, k)
-            for pdf in batches:
+
+            def judge(texts, *before):
                 n, hits, ids = [], [], []
-                for text, h0, i0 in zip(pdf[text_col], pdf["_hits"], pdf["_items"], strict=True):
-                    w, spans, items_hit = index.hits(text)
-                    n.append(w)
-                    hits.append([{"s": a, "e": b} for a, b in merged([*spans, *((x["s"], x["e"]) for x in h0)])])
-                    ids.append(sorted({*i0, *(index.ids[i] for i in items_hit)}))
-                pdf["_n_words"], pdf["_hits"], pdf["_items"] = pd.Series(n, pdf.index, "int64"), pd.Series(hits, pdf.index, object), pd.Series(ids, pdf.index, object)
-                yield pdf
-
-        out = out.mapInPandas(run, schema)
+                for i, text in enumerate(texts):
+                    words, spans, own = index.hits(text)
+                    old, names = (before[0][i], before[1][i]) if at else ([], [])
+                    n.append(words)
+                    hits.append([{"s": a, "e": b} for a, b in merged([*spans, *((x["s"], x["e"]) for x in old)])])
+                    ids.append(sorted({*names, *(index.ids[x] for x in own)}))
+                return n, hits, ids
+
+            return judge
+
+        out = add_columns(out, [text_col, "_hits", "_items"] if at else [text_col], COLUMNS, make)
     return out
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, grams, mix, stash, word_hashes
+from .common import add_columns, bounded, grams, mix, stash, word_hashes
 from .components import components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
@@ -73,10 +73,10 @@ def least_matches(threshold: float, tolerance: float, n_max: int = BANDS * ROWS,
     return out
 
 
-def _sketch(batches, text_col: str, k: int):
-    for pdf in batches:
+def _sketch(k: int):
+    def sketch(texts):
         node, size, sig, bands = [], [], [], []
-        for text in pdf[text_col]:
+        for text in texts:
             h, sh = shingles(text, k)
             s = signature(sh)
             key = s.reshape(BANDS, ROWS)
@@ -87,7 +87,9 @@ def _sketch(batches, text_col: str, k: int):
             size.append(len(sh))
             sig.append((mix(s) >> np.uint64(56)).astype(np.uint8).tobytes())
             bands.append(b.view(np.int64) if len(sh) else np.empty(0, np.int64))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "thash": pdf["thash"], "node": node, "size": size, "sig": sig, "bands": bands})
+        return node, size, sig, bands
+
+    return sketch
 
 
 def _runs(batches, key_cols: list[str]):
@@ -212,8 +214,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("thash", F.xxhash64("text"))
-    schema = "doc_id long, thash long, node binary, size long, sig binary, bands array<long>"
-    sketched = stash(spark, src.mapInPandas(lambda it: _sketch(it, "text", k), schema), "sketch")
+    made = add_columns(src, ["text"], "node binary, size long, sig binary, bands array<long>", lambda: _sketch(k))
+    sketched = stash(spark, made.drop("text"), "sketch")
     worded = sketched.where("size > 0")
     texts = worded.groupBy("node", "thash").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"), F.max(F.col("doc_id").isNull()).alias("o"))
     nodes = stash(spark, texts.groupBy("node").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_copies"), F.min_by(F.struct("d", "thash", "o"), F.struct(~F.col("o"), "d", "thash")).alias("rep")), "nodes")
