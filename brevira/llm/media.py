@@ -213,7 +213,7 @@ def columns(docs: DataFrame) -> DataFrame:
     index, folder = stored(docs.select("doc_id", "text"))
     out = measured(described(_near(index), folder), folder)
     feature = F.concat_ws(";", F.concat("width", F.lit("x"), "height", F.lit("x"), "bit_depth"), "feature")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "digest", "shard", "offset", "length")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "digest")
 
 
 def members(tar: bytes) -> dict[str, bytes]:
