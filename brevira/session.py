@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -36,3 +38,20 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g", ap
     )
     spark.sparkContext.setLogLevel("ERROR")
     return ship(spark)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a local one where none is named (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = getattr(spark, "_brevira_shared", None)
+        if base is None:
+            base = spark._brevira_shared = "file://" + tempfile.mkdtemp(prefix="brevira-")
+    return base.rstrip("/")
+
+
+def staged(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage and its plan."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
