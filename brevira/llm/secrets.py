@@ -63,15 +63,15 @@ def default_samples(seed: int = 11, n: int = 4000) -> list[tuple[str, int]]:
     """Labelled samples: 1 random string, 0 ordinary."""
     rng = random.Random(seed)
     upper, lower, digit = _ALPHABET[:26], _ALPHABET[26:52], _ALPHABET[52:62]
-    syllables = [c + v + e for c in ("b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "st", "th", "sh", "ch", "tr", "pr", "") for v in "aeiou" for e in ("", "n", "r", "s", "t", "l", "nd", "ng", "tion", "ly")]
+    syllables = [c + v + e for c in ("b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "st", "th", "sh", "ch", "tr", "pr", "qu", "k", "w", "v", "j", "br", "x", "z", "") for v in ("a", "e", "i", "o", "u", "ow", "ick", "y") for e in ("", "n", "r", "s", "t", "l", "nd", "ng", "tion", "ly")]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 5)))
     out = []
     for _ in range(n):
         letters = rng.choice([upper + lower + digit, upper + lower + digit + "+/", upper + lower + digit + "_-", digit + lower[:6], digit + upper[:6], upper + digit, lower + digit])
         out.append(("".join(rng.choice(letters) for _ in range(rng.randint(20, 64))) + "=" * rng.choice([0, 0, 0, 1, 2]), 1))
         words = [word() for _ in range(rng.randint(1, 6))]
-        style = rng.randrange(8)
-        s = ("_", "-", "/", "")[style % 4].join(words) if style < 4 else "".join(w.capitalize() for w in words) if style == 4 else "_".join(words).upper() if style == 5 else "".join(rng.choice(digit) for _ in range(rng.randint(4, 30))) if style == 6 else rng.choice("=-_") * rng.randint(8, 60)
+        style = rng.randrange(9)
+        s = ("_", "-", "/", "")[style % 4].join(words) if style < 4 else "".join(w.capitalize() for w in words) if style == 4 else ("_" if rng.random() < 0.5 else "").join(words).upper() if style == 5 else "".join(words).upper() if style == 8 else "".join(rng.choice(digit) for _ in range(rng.randint(4, 30))) if style == 6 else rng.choice("=-_") * rng.randint(8, 60)
         out.append((s + rng.choice(["", "", "", str(rng.randint(0, 99))]), 0))
     return out
 
