@@ -8,9 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as K
 from ..functions.text import contains_any, token_count, tokens
-from .classify import CONV, ORDER
+from .classify import conv, in_order
 
-ALL = CONV.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def whole():
+    return conv().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def task_keywords(task) -> Column:
@@ -31,19 +34,20 @@ def scored(rows: DataFrame, tasks: DataFrame | None = None, drop_below: float =
     score = F.when(F.col("protected"), 1.0).when(asked, share).otherwise(0.5)
     critical = contains_any(F.col("content"), F.coalesce("needles", F.array().cast("array<string>"))) | (F.col("shield") == "PRESERVE")
     score = F.when(asked & ~F.col("protected") & (score < drop_below) & critical, F.lit(drop_below)).otherwise(score)
-    r = r.withColumn("relevance", score).withColumns({"_n": F.count("*").over(CONV), "_p": F.row_number().over(ORDER) - 1})
+    r = r.withColumn("relevance", score).withColumns({"_n": F.count("*").over(conv()), "_p": F.row_number().over(in_order()) - 1})
     at = F.col("_p") / F.greatest(F.col("_n") - 1, F.lit(1))
     factor = F.when((F.col("_n") <= 10) | F.col("protected"), 1.0).when(at < 0.15, 1.1).when(at > 0.85, 1.15).otherwise(0.9)
     r = r.withColumn("relevance", F.col("relevance") * factor)
     r = r.withColumn("_keep", F.col("protected") | (F.round("relevance", 9) >= drop_below))
-    return r.where(F.col("_keep") | ~F.max("_keep").over(ALL)).drop("_k", "needles", "_n", "_p", "_keep")
+    r = r.withColumn("_some", F.max("_keep").over(whole()))
+    return r.where(F.col("_keep") | ~F.col("_some")).drop("_k", "needles", "_n", "_p", "_keep", "_some")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
     """_block: number of the block of each row; a call and the results of it that follow at once are one."""
     ids = F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id:string,type:string,name:string,arguments:string>>")), lambda x: x["id"])
     r = rows.withColumn("_ids", ids)
-    last = F.last(F.when(F.size("_ids") > 0, F.struct("idx", "_ids")), ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last(F.when(F.size("_ids") > 0, F.struct("idx", "_ids")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("_call", last)
     # a result continues the block if everything since its call does; a repeated id starts anew
     fits = F.col("tool_call_id").isNotNull() & (F.size("_ids") == 0) & F.coalesce(F.array_contains("_call._ids", F.col("tool_call_id")), F.lit(False))
@@ -52,12 +56,12 @@ def blocks(rows: DataFrame) -> DataFrame:
     seen = F.row_number().over(Window.partitionBy("conv_id", "_call.idx", "tool_call_id").orderBy("idx"))
     r = r.withColumn("_fit", F.col("_fit") & (seen == 1))
     r = r.withColumn("_fit", F.col("_fit") & (F.sum(F.when(F.col("_fit"), 0).otherwise(1)).over(run) == 0))
-    return r.withColumn("_block", F.sum(F.when(F.col("_fit"), 0).otherwise(1)).over(ORDER)).drop("_ids", "_call", "_fit")
+    return r.withColumn("_block", F.sum(F.when(F.col("_fit"), 0).otherwise(1)).over(in_order())).drop("_ids", "_call", "_fit")
 
 
 def valid(rows: DataFrame, order: list[str]) -> DataFrame:
     """(conv_id, ok): every result follows its call with nothing else in between, in the given order."""
-    w = CONV.orderBy(*order)
+    w = conv().orderBy(*order)
     ids = F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id:string,type:string,name:string,arguments:string>>")), lambda x: x["id"])
     r = rows.withColumn("_ids", ids).withColumn("_g", F.sum(F.when(F.size("_ids") > 0, 1).otherwise(0)).over(w))
     g = Window.partitionBy("conv_id", "_g").orderBy(*order)
@@ -77,7 +81,7 @@ def reordered(rows: DataFrame) -> DataFrame:
     b = b.withColumn("_pri", F.when(lead.isin("ERROR_TRACE", "SYSTEM_PROMPT"), 0).when(lead.isin("RECENT_TURN", "USER_QUERY"), 2).otherwise(1))
     ok = valid(b, ["_pri", "_block", "idx"])
     b = b.join(ok, "conv_id").withColumn("_pri", F.when(F.col("ok"), F.col("_pri")).otherwise(0))
-    return b.withColumn("place", F.row_number().over(CONV.orderBy("_pri", "_block", "idx")) - 1).drop("_pri", "_block", "ok")
+    return b.withColumn("place", F.row_number().over(conv().orderBy("_pri", "_block", "idx")) - 1).drop("_pri", "_block", "ok")
 
 
 def head_tail(c, strings=None) -> Column:
@@ -106,7 +110,7 @@ def within(rows: DataFrame, budgets: DataFrame, edges: DataFrame | None = None,
     """
     r = rows.join(budgets.select("conv_id", "budget"), "conv_id", "left")
     r = r.withColumn("tokens", token_count(F.col("content")))
-    r = r.withColumn("_total", F.sum("tokens").over(CONV))
+    r = r.withColumn("_total", F.sum("tokens").over(conv()))
     for table_, name in ((critical, "_crit"), (protected, "_prot")):
         r = r.join(table_.select("conv_id", F.col("needles").alias(name)), "conv_id", "left") if table_ is not None else r.withColumn(name, F.lit(None).cast("array<string>"))
     empty = F.array().cast("array<string>")
@@ -131,7 +135,7 @@ def within(rows: DataFrame, budgets: DataFrame, edges: DataFrame | None = None,
         copies = edges.where("kind = 'dedup'").join(origin, ["conv_id", "dst"]).select("conv_id", F.col("src").alias("idx"), "_copy")
         r = r.join(copies, ["conv_id", "idx"], "left").withColumn("content", F.when(~gone, F.coalesce("_copy", "content")).otherwise(F.col("content"))).drop("_copy")
     r = r.where(~gone)
-    r = r.withColumns({"_left": F.sum("tokens").over(CONV), "_rows": F.count("*").over(CONV), "_free": F.max(~F.col("protected")).over(CONV)})
+    r = r.withColumns({"_left": F.sum("tokens").over(conv()), "_rows": F.count("*").over(conv()), "_free": F.max(~F.col("protected")).over(conv())})
     can = (F.col("ctype") != "SYSTEM_PROMPT") & (~F.col("protected") | ~F.col("_free"))
     r = r.withColumn("_rank", F.when(can, F.row_number().over(Window.partitionBy("conv_id", can).orderBy(F.col("tokens").desc(), "idx"))))
     over = F.col("_left") - F.col("budget")

@@ -9,10 +9,18 @@ from pyspark.sql.window import Window
 from ..functions import constants as K
 from ..functions.text import token_count
 
-CONV = Window.partitionBy("conv_id")
-ORDER = CONV.orderBy("idx")
-BACK = CONV.orderBy(F.col("idx").desc())
-ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def conv():
+    return Window.partitionBy("conv_id")
+
+
+def in_order():
+    return conv().orderBy("idx")
+
+
+def from_end():
+    return conv().orderBy(F.col("idx").desc())
 
 
 def zones(messages: DataFrame) -> DataFrame:
@@ -22,7 +30,7 @@ def zones(messages: DataFrame) -> DataFrame:
 
 def reassembled(rows: DataFrame) -> DataFrame:
     """Output position of each row: zone 1, then 2, then 3, each in source order."""
-    return rows.withColumn("position", F.row_number().over(CONV.orderBy("zone", "idx")) - 1)
+    return rows.withColumn("position", F.row_number().over(conv().orderBy("zone", "idx")) - 1)
 
 
 def error_hits(c) -> Column:
@@ -51,9 +59,9 @@ def classified(messages: DataFrame, recent_turns: int = 2, overrides: dict[str,
     """
     rows = zones(messages).where("zone = 3")
     user = F.col("role") == "user"
-    from_end = F.sum(user.cast("int")).over(BACK)
-    rows = rows.withColumn("_u", F.when(user, from_end))
-    whole = CONV.rowsBetween(*ALL)
+    nth_user = F.sum(user.cast("int")).over(from_end())
+    rows = rows.withColumn("_u", F.when(user, nth_user))
+    whole = conv().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nth = F.max(F.when(F.col("_u") == recent_turns, F.col("idx"))).over(whole)
     after = F.lit(False) if recent_turns <= 0 else F.col("idx") > F.coalesce(nth, F.min("idx").over(whole))
     sub = tool_type(F.col("content"), F.col("name"))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
-from .classify import ORDER
+from .classify import in_order
 
 
 def coalesced(rows: DataFrame, most_chars: int = 100, least_run: int = 3) -> DataFrame:
     """Runs of at least ``least_run`` neighbouring short assistant rows, without calls, as one row at the first's place."""
     short = (F.col("role") == "assistant") & F.col("policy").isin("MODERATE", "AGGRESSIVE") & ~F.col("protected") & (F.coalesce(F.size("tool_calls"), F.lit(0)) <= 0) & (F.length("content") < most_chars)
     rows = rows.withColumn("_s", short)
-    rows = rows.withColumn("_island", F.sum(F.when(F.col("_s") & F.coalesce(F.lag("_s").over(ORDER), F.lit(False)), 0).otherwise(1)).over(ORDER))
+    rows = rows.withColumn("_island", F.sum(F.when(F.col("_s") & F.coalesce(F.lag("_s").over(in_order()), F.lit(False)), 0).otherwise(1)).over(in_order()))
     run = Window.partitionBy("conv_id", "_island")
     part = strip(F.col("content"))
     part = F.when(part == "", None).when(F.substring(part, -1, 1).isin(".", "!", "?", ";", ":"), part).otherwise(F.concat(part, F.lit(".")))

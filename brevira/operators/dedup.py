@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from ..functions.text import content_hash, strip, tokens, word_count
@@ -73,7 +74,7 @@ def near_by_cosine(rows: DataFrame, threshold: float = 0.80, groups: F.Column |
 HASHES, BANDS, SHINGLE = 128, 16, 5
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _signature(texts: pd.Series) -> pd.Series:
     """MinHash values of the character 5-grams of each text, by array operations over a bounded run of them at a time."""
     rng = np.random.default_rng(42)

@@ -8,11 +8,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import constants as K
 from ..functions.text import all_matches, sentences, strip
-from .classify import BACK, ORDER
+from .classify import from_end, in_order
 
 EXTRACTABLE = ("TOOL_RESULT_TEXT", "TOOL_RESULT_JSON", "ERROR_TRACE", "CODE_BLOCK", "OLD_CONVERSATION", "ASSISTANT_REASONING")
 STRIDE = 1_000_000
@@ -89,7 +90,10 @@ def argument_facts(arguments: str | None, name: str | None, turn: int) -> list[d
 _DDL = "array<struct<category:string,content:string,confidence:double>>"
 
 
-@F.pandas_udf(_DDL)
+_FACTS = ArrayType(StructType([StructField("category", StringType()), StructField("content", StringType()), StructField("confidence", DoubleType())]))
+
+
+@F.pandas_udf(_FACTS)
 def _argument_facts(args: pd.Series, names: pd.Series, turns: pd.Series) -> pd.Series:
     return pd.Series([argument_facts(a, n, int(t)) for a, n, t in zip(args, names, turns, strict=True)], dtype=object)
 
@@ -101,9 +105,9 @@ def extracted(rows: DataFrame, arguments: bool = True) -> DataFrame:
     """
     c = F.col("content")
     user = F.when(F.col("role") == "user", 1).otherwise(0)
-    r = rows.where("not compressed").withColumn("turn", F.greatest(F.sum(user).over(ORDER), F.lit(1)).cast("int"))
-    place = F.row_number().over(ORDER)
-    r = r.withColumn("_p", place).withColumn("_r", F.row_number().over(BACK))
+    r = rows.where("not compressed").withColumn("turn", F.greatest(F.sum(user).over(in_order()), F.lit(1)).cast("int"))
+    place = F.row_number().over(in_order())
+    r = r.withColumn("_p", place).withColumn("_r", F.row_number().over(from_end()))
     r = r.withColumn("_nu", F.when(F.col("role") == "user", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("idx"))))
     r = r.withColumn("_nr", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy(F.col("idx").desc())))
     short = F.substring(strip(c), 1, 300)
@@ -178,7 +182,7 @@ def updated(facts: DataFrame, changes: DataFrame) -> DataFrame:
 
 def chains(rows: DataFrame) -> DataFrame:
     """Logical edges: a row with a marker of inference depends on the nearest earlier assistant row."""
-    before = F.last(F.when(F.col("role") == "assistant", F.col("idx")), ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(F.col("role") == "assistant", F.col("idx")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     r = rows.where("not compressed").withColumn("dst", before)
     return r.where(F.col("content").rlike(K.CHAIN) & F.col("dst").isNotNull()).select("conv_id", F.lit("logical").alias("kind"), F.col("idx").alias("src"), "dst")
 
@@ -214,7 +218,7 @@ def supersessions(rows: DataFrame, reach: int = 20) -> DataFrame:
     """conv_id, superseded, superseding, reason: the earliest of the previous rows that shares an entity with a correcting
     assistant row. A band join on row numbers: both sides are dealt by blocks of ``reach`` rows."""
     c = F.col("content")
-    r = rows.withColumn("n", F.row_number().over(ORDER)).withColumn("e", entities(c))
+    r = rows.withColumn("n", F.row_number().over(in_order())).withColumn("e", entities(c))
     new = r.where((F.col("role") == "assistant") & (F.length("content") >= 20) & c.rlike(K.SUPERSESSION) & (F.size("e") > 0))
     low = F.lower(c)
     reason = F.when(low.rlike("actually|turns out|correction|not|but"), "correction").when(low.rlike("all|pass|now|updated"), "status_update").otherwise("refinement")

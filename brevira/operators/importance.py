@@ -8,14 +8,14 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as K
 from ..functions.text import contains_any, sentences, strip, tokens, word_count
-from .classify import BACK, CONV
+from .classify import from_end, conv
 from .dedup import LOCKED, tfidf
 from .lines import KEY
 
 
 def phases(rows: DataFrame, window: int = 10) -> DataFrame:
     """(conv_id, phase, multiplier) from the types of the last rows of each conversation."""
-    last = rows.withColumn("_k", F.row_number().over(BACK)).where(F.col("_k") <= window)
+    last = rows.withColumn("_k", F.row_number().over(from_end())).where(F.col("_k") <= window)
     n = lambda *t: F.sum(F.col("ctype").isin(*t).cast("int"))
     c = last.groupBy("conv_id").agg(F.count("*").alias("n"), n("ERROR_TRACE").alias("e"), n("CODE_BLOCK").alias("c"), n("TOOL_RESULT_TEXT", "TOOL_RESULT_JSON").alias("t"))
     phase = F.when(F.expr("e >= 2 or (e >= 1 and n <= 5)"), "DEBUGGING").when(F.expr("c >= 3 or c > 0.3D * n"), "IMPLEMENTATION").when(F.expr("t >= 3"), "REVIEW").otherwise("EXPLORATION")
@@ -43,7 +43,7 @@ def scored(rows: DataFrame) -> DataFrame:
     c = F.col("content")
     phase = phases(rows).select("conv_id", "multiplier")
     r = rows.join(mean_tfidf(rows), KEY, "left").join(phase, "conv_id", "left")
-    r = r.withColumn("_end", F.row_number().over(BACK) - 1).withColumn("_i", instruction(c, F.col("role")))
+    r = r.withColumn("_end", F.row_number().over(from_end()) - 1).withColumn("_i", instruction(c, F.col("role")))
     marks = F.when(c.rlike(K.QUESTION) | c.rlike(K.CONCLUSION) | c.rlike(K.DECISION), 1.0).otherwise(0.0)
     score = density(c, K.ENTITIES) * 0.15 + density(c, K.NUMBERS) * 0.10 + marks * 0.15 + F.col("_i") * 0.15 + 0.15 / (1 + F.col("_end") * 0.1) + F.coalesce("tfidf", F.lit(0.0)) * 0.15
     score = F.when(F.col("_i") >= 0.7, F.greatest(score, F.lit(0.75))).otherwise(score) * F.coalesce("multiplier", F.lit(1.0))
@@ -55,7 +55,7 @@ def scored(rows: DataFrame) -> DataFrame:
 
 def queries_of(rows: DataFrame, n: int = 2, facts: DataFrame | None = None) -> DataFrame:
     """(conv_id, query): the last user texts, with active context and errors of the ledger."""
-    own = rows.where("role = 'user' and content <> ''").withColumn("_k", F.row_number().over(BACK)).where(F.col("_k") <= n)
+    own = rows.where("role = 'user' and content <> ''").withColumn("_k", F.row_number().over(from_end())).where(F.col("_k") <= n)
     q = own.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "content"))), lambda x: x["content"]), " ").alias("query"))
     if facts is not None:
         extra = facts.where(F.col("category").isin("ACTIVE_CONTEXT", "ERRORS")).withColumn("_o", (F.col("category") == "ERRORS").cast("int"))
@@ -135,10 +135,10 @@ def _clause(x) -> Column:
 
 def discourse(rows: DataFrame, recent_turns: int = 2, needles: DataFrame | None = None) -> DataFrame:
     """Elaborating clauses of COMPRESSIBLE rows before the recent turns are cut, unless they hold a critical string."""
-    n = F.sum(F.when(F.col("role") == "user", 1)).over(BACK)
-    r = rows.withColumn("_u", F.when(F.col("role") == "user", n)).withColumn("_all", F.max("_u").over(CONV.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    n = F.sum(F.when(F.col("role") == "user", 1)).over(from_end())
+    r = rows.withColumn("_u", F.when(F.col("role") == "user", n)).withColumn("_all", F.max("_u").over(conv().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     at = F.lit(max(recent_turns, 1)) if recent_turns > 0 else F.col("_all")
-    r = r.withColumn("_b", F.when(F.coalesce("_all", F.lit(0)) > recent_turns, F.max(F.when(F.col("_u") == at, F.col("idx"))).over(CONV.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.lit(-1)))
+    r = r.withColumn("_b", F.when(F.coalesce("_all", F.lit(0)) > recent_turns, F.max(F.when(F.col("_u") == at, F.col("idx"))).over(conv().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.lit(-1)))
     empty = F.array().cast("array<string>")
     r = r.join(needles.select("conv_id", "needles"), "conv_id", "left") if needles is not None else r.withColumn("needles", empty)
     on = ~F.col("policy").isin(*LOCKED) & ~F.col("protected") & (F.col("idx") < F.col("_b")) & (F.col("shield") == "COMPRESSIBLE")

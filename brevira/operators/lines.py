@@ -12,7 +12,10 @@ from ..functions.text import content_hash, contains_any, entropy, strip
 POLICIES = ("MODERATE", "AGGRESSIVE", "STACK")
 MOST_LINES, RUN = 100, 3
 KEY = ["conv_id", "idx"]
-LINE = Window.partitionBy(*KEY).orderBy("pos")
+
+
+def in_line():
+    return Window.partitionBy(*KEY).orderBy("pos")
 
 
 def exploded(rows: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def joined(lines: DataFrame) -> DataFrame:
 def blank_runs(lines: DataFrame) -> DataFrame:
     """Only the first of neighbouring blank lines stays."""
     blank = strip(F.col("line")) == ""
-    return lines.withColumn("_b", blank).withColumn("_p", F.lag("_b").over(LINE)).where(~(F.col("_b") & F.coalesce("_p", F.lit(False)))).drop("_b", "_p")
+    return lines.withColumn("_b", blank).withColumn("_p", F.lag("_b").over(in_line())).where(~(F.col("_b") & F.coalesce("_p", F.lit(False)))).drop("_b", "_p")
 
 
 def low_entropy(lines: DataFrame, threshold: float = 1.8) -> DataFrame:
@@ -44,7 +47,7 @@ def pattern(line) -> Column:
 def repeated(lines: DataFrame, run: int = RUN) -> DataFrame:
     """Of longer runs of lines of one pattern the first three and a marker with the number left out stay."""
     lines = lines.withColumn("_p", pattern(F.col("line")))
-    lines = lines.withColumn("_i", F.sum(F.when(F.col("_p") == F.lag("_p").over(LINE), 0).otherwise(1)).over(LINE))
+    lines = lines.withColumn("_i", F.sum(F.when(F.col("_p") == F.lag("_p").over(in_line()), 0).otherwise(1)).over(in_line()))
     own = Window.partitionBy(*KEY, "_i")
     lines = lines.withColumns({"_n": F.count("*").over(own), "_k": F.row_number().over(own.orderBy("pos"))})
     long_ = (F.col("_n") > run) & (F.col("_p") != "")
@@ -63,7 +66,7 @@ def truncated(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
     """Of more than ``most`` lines the first and last half and a marker stay."""
     half = most // 2
     own = Window.partitionBy(*KEY)
-    lines = lines.withColumns({"_k": F.row_number().over(LINE), "_n": F.count("*").over(own)})
+    lines = lines.withColumns({"_k": F.row_number().over(in_line()), "_n": F.count("*").over(own)})
     lines = lines.where((F.col("_n") <= most) | (F.col("_k") <= half + 1) | (F.col("_k") > F.col("_n") - half))
     marker = F.concat(F.lit("[... "), (F.col("_n") - most).cast("string"), F.lit(f" lines omitted — showing first {half} and last {half} lines ...]"))
     return lines.withColumn("line", F.when((F.col("_n") > most) & (F.col("_k") == half + 1), marker).otherwise(F.col("line"))).drop("_k", "_n")

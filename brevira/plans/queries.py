@@ -387,17 +387,12 @@ def _case(i: int, default: str) -> str:
     return "CASE pressure " + " ".join(f"WHEN '{k}' THEN {v[i]}::DOUBLE" for k, v in K.PRESSURE.items() if v[i] is not None) + f" ELSE {default} END"
 
 
-_TF = _TOKENS
 _MEAN = rf"""
 tk AS (SELECT conv_id, idx, unnest({_TOKENS}) AS token FROM src),
 tf AS (SELECT conv_id, idx, token, count(*) AS n FROM tk WHERE token NOT IN {_list(K.STOP_WORDS)} GROUP BY ALL),
 tw AS (SELECT conv_id, idx, token, n / sum(n) OVER (PARTITION BY conv_id, idx) * (ln((nr + 1) / (count(*) OVER (PARTITION BY conv_id, token) + 1)::DOUBLE) + 1) AS weight FROM tf JOIN (SELECT conv_id, count(*) AS nr FROM src GROUP BY 1) USING (conv_id))"""
 
 
-def _words(c: str) -> str:
-    return rf"CASE WHEN {_STRIP.format(c)} = '' THEN 0 ELSE len(regexp_split_to_array({_STRIP.format(c)}, '\s+')) END"
-
-
 def _round_sql() -> str:
     return f"WITH messages AS ({VIEW}) SELECT conv_id, idx, role, sha256(content) AS content_sha256, tool_call_id FROM messages WHERE idx >= 500"
 
@@ -418,9 +413,9 @@ sn AS (SELECT conv_id, unnest(string_split(regexp_replace(content, '([.!])\s+',
 SELECT * FROM fx UNION ALL SELECT DISTINCT conv_id, 'DECISIONS', substr({_STRIP.format("s")}, 1, 200) FROM sn WHERE trim(s) <> '' AND regexp_matches(s, {_q(K.DECISION_SENTENCE)}) AND NOT regexp_matches(s, {_q(K.HEDGE)})"""
 )
 
-_ARC = rf"""list_filter(list_distinct(regexp_extract_all(lower(content), '\b([a-z]\w{{2,}})\b', 1)), x -> x NOT IN {_list(K.ARC_STOP_WORDS)})"""
-_ENT = rf"""list_distinct(list_concat(list_concat(list_transform(regexp_extract_all(content, '[\w./\\]+\.\w{{1,8}}'), x -> lower(x)), list_transform(regexp_extract_all(content, '\b[a-z]+(?:[A-Z][a-z]+)+\b'), x -> lower(x))),
-  list_filter(list_transform(regexp_extract_all(content, '\b(\w+)\s*\(', 1), x -> lower(x)), x -> x NOT IN {_list(K.ARC_STOP_WORDS)} AND length(x) > 2)))"""
+_ARC = rf"""list_filter(list_distinct(regexp_extract_all(lower(content), '\b([a-z]\w{{2,}})\b', 1)), lambda x: x NOT IN {_list(K.ARC_STOP_WORDS)})"""
+_ENT = rf"""list_distinct(list_concat(list_concat(list_transform(regexp_extract_all(content, '[\w./\\]+\.\w{{1,8}}'), lambda x: lower(x)), list_transform(regexp_extract_all(content, '\b[a-z]+(?:[A-Z][a-z]+)+\b'), lambda x: lower(x))),
+  list_filter(list_transform(regexp_extract_all(content, '\b(\w+)\s*\(', 1), lambda x: lower(x)), lambda x: x NOT IN {_list(K.ARC_STOP_WORDS)} AND length(x) > 2)))"""
 _ARCS = (
     _MSG
     + rf""", kw AS (SELECT *, {_ARC} AS k FROM rws WHERE length(content) >= 10),
@@ -434,7 +429,6 @@ sup AS (SELECT a.conv_id, a.idx AS superseding, min(b.idx) AS superseded, CASE W
   WHERE a.role = 'assistant' AND length(a.content) >= 20 AND regexp_matches(a.content, {_q(K.SUPERSESSION)}) GROUP BY 1, 2)"""
 )
 
-_DENSE = lambda p: f"least(len(regexp_extract_all(content, {_q(p)})) / greatest({_words('content')}, 1)::DOUBLE, 1.0::DOUBLE)"
 _PHASE = rf""", lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC) AS bk FROM wrk) t WHERE bk <= 10),
 pcn AS (SELECT conv_id, count(*) AS n, sum((ctype = 'ERROR_TRACE')::int) AS e, sum((ctype = 'CODE_BLOCK')::int) AS c, sum((ctype IN ('TOOL_RESULT_TEXT', 'TOOL_RESULT_JSON'))::int) AS t FROM lst GROUP BY 1),
 phs AS (SELECT conv_id, CASE WHEN e >= 2 OR (e >= 1 AND n <= 5) THEN 'DEBUGGING' WHEN c >= 3 OR c > 0.3::DOUBLE * n THEN 'IMPLEMENTATION' WHEN t >= 3 THEN 'REVIEW' ELSE 'EXPLORATION' END AS phase FROM pcn),
@@ -497,17 +491,6 @@ SELECT conv_id, idx, sha256(CASE WHEN h IS NOT NULL AND fst < idx THEN '[Previou
 na AS (SELECT conv_id, count(*) AS n FROM wrk GROUP BY 1), nb AS (SELECT conv_id, count(*) AS n FROM wrk WHERE idx < 500 GROUP BY 1)
 SELECT a.conv_id, a.token, round(CASE WHEN b.df IS NOT NULL THEN ln((nb.n + 1) / (b.df + 1)::DOUBLE) + 1 ELSE ln((na.n + 1) / (a.df + 1)::DOUBLE) + 1 END, 6) AS idf FROM a JOIN na USING (conv_id) LEFT JOIN b ON a.conv_id = b.conv_id AND a.token = b.token LEFT JOIN nb ON a.conv_id = nb.conv_id""",
     "phase": _MSG + _PHASE + " SELECT conv_id, phase, multiplier FROM phm",
-    "importance": _MSG
-    + _PHASE
-    + ", src AS (SELECT * FROM wrk), "
-    + _MEAN.strip()
-    + rf""", mt AS (SELECT conv_id, idx, least(avg(weight), 1.0::DOUBLE) AS tfidf FROM tw GROUP BY 1, 2),
-sc AS (SELECT w.*, coalesce(tfidf, 0) AS tfidf, multiplier, row_number() OVER (PARTITION BY w.conv_id ORDER BY w.idx DESC) - 1 AS dist, {_DENSE(K.ENTITIES)} AS ent, {_DENSE(K.NUMBERS)} AS num,
-  CASE WHEN regexp_matches(content, {_q(K.QUESTION)}) OR regexp_matches(content, {_q(K.CONCLUSION)}) OR regexp_matches(content, {_q(K.DECISION)}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mk,
-  CASE WHEN regexp_matches(content, {_q(K.ABSOLUTE)}) THEN 1.0::DOUBLE WHEN regexp_matches(content, {_q(K.IMPERATIVE)}) THEN 0.7::DOUBLE WHEN regexp_matches(content, {_q(K.CONDITIONAL)}) THEN 0.5::DOUBLE WHEN regexp_matches(content, {_q(K.HEDGED)}) THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END * CASE role WHEN 'user' THEN 1.0::DOUBLE WHEN 'assistant' THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS ins
-  FROM wrk w LEFT JOIN mt ON w.conv_id = mt.conv_id AND w.idx = mt.idx JOIN phm ON w.conv_id = phm.conv_id),
-im AS (SELECT *, ent * 0.15::DOUBLE + num * 0.10::DOUBLE + mk * 0.15::DOUBLE + ins * 0.15::DOUBLE + 0.15::DOUBLE / (1 + dist * 0.1::DOUBLE) + tfidf * 0.15::DOUBLE AS s FROM sc)
-SELECT conv_id, idx, round(CASE WHEN policy IN ('PRESERVE', 'LIGHT') THEN 1.0::DOUBLE ELSE (CASE WHEN ins >= 0.7::DOUBLE THEN greatest(s, 0.75::DOUBLE) ELSE s END) * multiplier END, 5) AS importance FROM im""",
     "query_relevance": _MSG
     + r""", uq AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC) AS k FROM wrk WHERE role = 'user' AND content <> ''), qq AS (SELECT conv_id, string_agg(content, ' ' ORDER BY idx) AS q FROM uq WHERE k <= 2 GROUP BY 1),
 src AS (SELECT conv_id, idx, content FROM wrk UNION ALL SELECT conv_id, -1, q FROM qq), """
@@ -516,15 +499,15 @@ src AS (SELECT conv_id, idx, content FROM wrk UNION ALL SELECT conv_id, -1, q FR
 dt AS (SELECT a.conv_id, a.idx, sum(a.weight * b.weight) AS d FROM tw a JOIN tw b ON a.conv_id = b.conv_id AND a.token = b.token AND b.idx = -1 WHERE a.idx <> -1 GROUP BY 1, 2)
 SELECT w.conv_id, w.idx, round(coalesce(d / (n1.nr * n2.nr), 0), 5) AS score FROM wrk w JOIN qq USING (conv_id) LEFT JOIN dt ON w.conv_id = dt.conv_id AND w.idx = dt.idx LEFT JOIN nm n1 ON w.conv_id = n1.conv_id AND w.idx = n1.idx LEFT JOIN nm n2 ON w.conv_id = n2.conv_id AND n2.idx = -1""",
     "task_scores": _MSG
-    + rf""", ts AS (SELECT DISTINCT r.conv_id, list_filter(list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')), x -> x NOT IN {_list(K.TASK_STOP_WORDS)}) AS k FROM rws r JOIN benchmark b ON b.item_id = r.conv_id % (SELECT count(*) FROM benchmark)),
+    + rf""", ts AS (SELECT DISTINCT r.conv_id, list_filter(list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')), lambda x: x NOT IN {_list(K.TASK_STOP_WORDS)}) AS k FROM rws r JOIN benchmark b ON b.item_id = r.conv_id % (SELECT count(*) FROM benchmark)),
 s0 AS (SELECT r.*, CASE WHEN protected THEN 1.0::DOUBLE WHEN coalesce(len(k), 0) > 0 THEN len(list_intersect(k, {_TOKENS})) / len(k)::DOUBLE ELSE 0.5::DOUBLE END AS sc FROM rws r LEFT JOIN ts USING (conv_id)),
 s1 AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS p FROM s0),
 s2 AS (SELECT *, sc * CASE WHEN n <= 10 OR protected THEN 1.0::DOUBLE WHEN p / greatest(n - 1, 1)::DOUBLE < 0.15::DOUBLE THEN 1.1::DOUBLE WHEN p / greatest(n - 1, 1)::DOUBLE > 0.85::DOUBLE THEN 1.15::DOUBLE ELSE 0.9::DOUBLE END AS rel FROM s1),
 s3 AS (SELECT *, protected OR round(rel, 9) >= 0.05 AS keep FROM s2)
-SELECT conv_id, idx, round(rel, 6) AS relevance FROM (SELECT *, bool_or(keep) OVER (PARTITION BY conv_id) AS some FROM s3) t WHERE keep OR NOT some""",
+SELECT conv_id, idx, round(rel, 6) AS relevance FROM (SELECT *, bool_or(keep) OVER (PARTITION BY conv_id) AS any_left FROM s3) t WHERE keep OR NOT any_left""",
     "budget_drop": _MSG
-    + r""", ca AS (SELECT DISTINCT conv_id, call_id AS id FROM rws WHERE call_id IS NOT NULL), re AS (SELECT DISTINCT conv_id, tool_call_id AS id FROM rws WHERE tool_call_id IS NOT NULL), both AS (SELECT conv_id, id FROM ca INTERSECT SELECT conv_id, id FROM re),
-d AS (SELECT r.*, (idx % 7) / 7.0::DOUBLE AS rel, sum(tokens) OVER (PARTITION BY conv_id) AS total, NOT protected AND ctype NOT IN ('CODE_BLOCK', 'ERROR_TRACE') AND NOT EXISTS (SELECT 1 FROM both b WHERE b.conv_id = r.conv_id AND b.id IN (r.call_id, r.tool_call_id)) AS drp FROM rws r),
+    + r""", ca AS (SELECT DISTINCT conv_id, call_id AS id FROM rws WHERE call_id IS NOT NULL), re AS (SELECT DISTINCT conv_id, tool_call_id AS id FROM rws WHERE tool_call_id IS NOT NULL), bth AS (SELECT conv_id, id FROM ca INTERSECT SELECT conv_id, id FROM re),
+d AS (SELECT r.*, (idx % 7) / 7.0::DOUBLE AS rel, sum(tokens) OVER (PARTITION BY conv_id) AS total, NOT protected AND ctype NOT IN ('CODE_BLOCK', 'ERROR_TRACE') AND NOT EXISTS (SELECT 1 FROM bth b WHERE b.conv_id = r.conv_id AND b.id IN (r.call_id, r.tool_call_id)) AS drp FROM rws r),
 p AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id, drp ORDER BY rel, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
 SELECT conv_id, idx, role FROM p WHERE NOT (drp AND total > 6000 AND total - before > 6000)""",
     "orphans": f"WITH messages AS ({VIEW}), c AS (SELECT DISTINCT conv_id, call_id AS id FROM messages WHERE call_id IS NOT NULL), r AS (SELECT DISTINCT conv_id, tool_call_id AS id FROM messages WHERE tool_call_id IS NOT NULL) SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.id, r.id) AS id, CASE WHEN c.id IS NULL THEN 'result' ELSE 'call' END AS side FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.id = r.id WHERE c.id IS NULL OR r.id IS NULL",

@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .messages import CALLS, shaped
@@ -40,7 +41,13 @@ def to_openai(messages: DataFrame) -> DataFrame:
 
 def _blocks(content) -> Column:
     """Content as an array of blocks: a plain string is one text block."""
-    return F.when(F.ltrim(content).startswith("["), F.from_json(content, f"array<struct<{_ddl(_BLOCK)}>>")).otherwise(F.array(F.from_json(F.to_json(F.struct(F.lit("text").alias("type"), content.alias("text"))), f"struct<{_ddl(_BLOCK)}>")))
+    parsed = F.from_json(content, f"array<struct<{_ddl(_BLOCK)}>>")
+    return F.when(_typed(content, parsed), parsed).otherwise(F.array(F.from_json(F.to_json(F.struct(F.lit("text").alias("type"), content.alias("text"))), f"struct<{_ddl(_BLOCK)}>")))
+
+
+def _typed(content, parsed) -> Column:
+    """Whether content is a list of typed blocks, not a text that happens to be a JSON array."""
+    return F.coalesce(F.ltrim(content).startswith("[") & F.exists(parsed, lambda b: b["type"].isNotNull()), F.lit(False))
 
 
 def _ddl(s: str) -> str:
@@ -67,7 +74,8 @@ def from_anthropic(records: DataFrame) -> DataFrame:
     r = records.withColumn("m", F.from_json("body", "role string, content string"))
 
     def inner(b):
-        return F.when(F.ltrim(b["content"]).startswith("["), _text_of(F.from_json(b["content"], "array<struct<type:string,text:string>>"))).otherwise(F.coalesce(b["content"], F.lit("")))
+        parsed = F.from_json(b["content"], "array<struct<type:string,text:string>>")
+        return F.when(_typed(b["content"], parsed), _text_of(parsed)).otherwise(F.coalesce(b["content"], F.lit("")))
 
     return _block_rows(r, "tool_use", "tool_result", lambda b: F.coalesce(b["id"], b["tool_use_id"]), lambda b: b["name"], lambda b: b["input"], inner)
 
@@ -99,7 +107,7 @@ def to_agent_sdk(messages: DataFrame) -> DataFrame:
     return inner.withColumn("body", F.to_json(F.struct(F.get_json_object("body", "$.role").alias("type"), F.col("body").alias("message")))).unionByName(edge)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _adk_id(body: pd.Series) -> pd.Series:
     import hashlib
 
@@ -190,7 +198,7 @@ def transcript(lines: DataFrame) -> DataFrame:
     role = F.coalesce("m.message.role", "m.role", "m.type")
     content = F.coalesce("m.message.content", "m.content")
     blocks = F.from_json(content, "array<struct<type:string,text:string,content:string>>")
-    text = F.when(F.ltrim(content).startswith("["), F.array_join(F.transform(F.filter(blocks, lambda b: b["type"].isin("text", "tool_result")), lambda b: F.coalesce(b["text"], b["content"], F.lit(""))), "\n")).otherwise(content)
+    text = F.when(_typed(content, blocks), F.array_join(F.transform(F.filter(blocks, lambda b: b["type"].isin("text", "tool_result")), lambda b: F.coalesce(b["text"], b["content"], F.lit(""))), "\n")).otherwise(content)
     return shaped(r.select("conv_id", "idx", role.alias("role"), F.coalesce(text, F.lit("")).alias("content")).where(F.col("role").isin("system", "user", "assistant", "tool")))
 
 
