@@ -114,6 +114,10 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+#: Rows of an Arrow batch that Python works on at a time; bounds what a worker holds beside the batch itself.
+SLICE = 512
+
+
 def add_columns(df: DataFrame, inputs: list[str], ddl: str, make) -> DataFrame:
     """``df`` with the columns of ``ddl``, made in Python from whole Arrow batches; columns of the same name are replaced.
 
@@ -127,7 +131,7 @@ def add_columns(df: DataFrame, inputs: list[str], ddl: str, make) -> DataFrame:
 
     def run(batches):
         f = make()
-        for b in batches:
+        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
             made = f(*[b.column(c).to_pylist() for c in inputs])
             arrays = [pa.array(x, t) for x, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in over), *arrays], names=[*over, *new.names])

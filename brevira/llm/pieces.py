@@ -33,7 +33,7 @@ SPACE = "▁"
 #: Stands for a space mark that the text itself holds, which only byte pieces may spell.
 LITERAL = 0x110001
 #: Characters that are worked on at a time.
-CHARS = 1_000_000
+CHARS = 400_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
 SAMPLE_DDL = "samples array<struct<ids:binary,log_prob:double,perturbed:double,log_inclusion:double>>"
