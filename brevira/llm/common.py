@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -115,7 +118,15 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 
 
 #: Rows of an Arrow batch that Python works on at a time; bounds what a worker holds beside the batch itself.
-SLICE = 512
+SLICE, BATCH = 512, 1024
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and what one operator held would count for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def add_columns(df: DataFrame, inputs: list[str], ddl: str, make) -> DataFrame:
@@ -129,11 +140,17 @@ def add_columns(df: DataFrame, inputs: list[str], ddl: str, make) -> DataFrame:
     over = [c for c in df.columns if c not in new.names]
     types = [f.type for f in to_arrow_schema(new)]
 
+    # whole texts make large rows: small batches bound what JVM and worker hold of them
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
     def run(batches):
         f = make()
-        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
-            made = f(*[b.column(c).to_pylist() for c in inputs])
-            arrays = [pa.array(x, t) for x, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in over), *arrays], names=[*over, *new.names])
+        try:
+            for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
+                made = f(*[b.column(c).to_pylist() for c in inputs])
+                arrays = [pa.array(x, t) for x, t in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in over), *arrays], names=[*over, *new.names])
+        finally:
+            release()
 
     return df.mapInArrow(run, StructType([*(df.schema[c] for c in over), *new.fields]))

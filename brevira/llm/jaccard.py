@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, bounded, grams, mix, stash, word_hashes
+from .common import add_columns, bounded, grams, mix, release, stash, word_hashes
 from .components import components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
@@ -194,6 +194,7 @@ def _verify(batches, k: int, threshold: float):
                     rows.append((None, 0, node[x], node[int(y)]))
         if rows:
             yield pd.DataFrame(rows, columns=["node", "links", "u", "v"])
+    release()
 
 
 def _dealt(df: DataFrame, group: list[str], size_col: str, block: int) -> DataFrame:
