@@ -129,15 +129,15 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def add_columns(df: DataFrame, inputs: list[str], ddl: str, make) -> DataFrame:
+def add_columns(df: DataFrame, inputs: list[str], ddl: str, make, drop: list[str] | tuple = ()) -> DataFrame:
     """``df`` with the columns of ``ddl``, made in Python from whole Arrow batches; columns of the same name are replaced.
 
     ``make()`` runs once per task and returns a function from one list per input column to one list per new column.
-    All other columns pass through as Arrow arrays, untouched.
+    All other columns pass through as Arrow arrays, untouched, but for those in ``drop``, which are not returned.
     """
     new = StructType.fromDDL(ddl)
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in inputs or c not in new.names])
-    over = [c for c in df.columns if c not in new.names]
+    over = [c for c in df.columns if c not in new.names and c not in drop]
     types = [f.type for f in to_arrow_schema(new)]
 
     # whole texts make large rows: small batches bound what JVM and worker hold of them

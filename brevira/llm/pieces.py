@@ -34,6 +34,8 @@ SPACE = "▁"
 LITERAL = 0x110001
 #: Characters that are worked on at a time.
 CHARS = 400_000
+#: Lattice nodes that a task keeps (about 55 bytes each).
+HELD = 2_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
 SAMPLE_DDL = "samples array<struct<ids:binary,log_prob:double,perturbed:double,log_inclusion:double>>"
@@ -70,7 +72,7 @@ class Pieces:
         self.longest = max(map(len, words))
         key = np.array([self._hash(w) for w in words], np.uint64)
         order = np.argsort(key)
-        self.key, self.score, self.ids = key[order], score[order], np.array(ids)[order]
+        self.key, self.weight, self.ids = key[order], np.exp(score[order]), np.array(ids)[order]
         if (np.diff(self.key) == 0).any():
             raise ValueError("two pieces have one hash")
         # one key per slot; the few that share a slot are looked up by search
@@ -95,7 +97,7 @@ class Pieces:
         return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of polynomial hashes: where pieces are, their scores and ids."""
+        """Of polynomial hashes: where pieces are, their weights and ids."""
         flat = h.ravel()
         slot = self._slot(flat)
         p = self.at[slot]
@@ -106,7 +108,7 @@ class Pieces:
         if len(again):
             q = np.minimum(np.searchsorted(self.key, own[again]), len(self.key) - 1)
             ok[again], p[again] = self.key[q] == own[again], q
-        return at[ok], self.score[p[ok]], self.ids[p[ok]]
+        return at[ok], self.weight[p[ok]], self.ids[p[ok]]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids made by this module: without the space mark of the start."""
@@ -123,63 +125,112 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+class _Numbers(dict):
+    """Numbers of parts in the order of their first use; ``new`` collects parts that have no lattice yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
+
+
 class Lattices:
-    """Lattices of distinct parts: for every node (part, position) the probabilities and ids of the next pieces by length."""
+    """Lattices of distinct parts: for every node (part, position) the arcs to the next nodes by length, each with its
+    probability and piece id (-1: a character in bytes).
+
+    Lattices are kept from one call to the next, as frequent parts recur; beyond ``HELD`` nodes all are dropped and made
+    anew when met again, so memory is bounded.
+    """
 
-    def __init__(self, parts: list[str], table: Pieces):
-        top = table.longest
+    NODES = {"first": np.int32, "options": np.int8, "best": np.int32, "best_p": np.float32, "total": np.float64, "char": np.int32}
+    ARCS = {"arc_p": np.float32, "arc_id": np.int32, "arc_len": np.int8}
+
+    def __init__(self, table: Pieces):
+        self.table = table
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = _Numbers()
+        self.n, self.base = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.nodes = self.arcs = 0
+        for name, kind in (self.NODES | self.ARCS).items():
+            setattr(self, name, np.empty(0, kind))
+
+    def _append(self, kinds: dict, used: int, columns: dict) -> None:
+        more = used + len(next(iter(columns.values())))
+        for name in kinds:
+            held = getattr(self, name)
+            if len(held) < more:
+                room = np.empty(max(more, len(held) * 3 // 2), held.dtype)
+                room[:used] = held[:used]
+                setattr(self, name, room)
+                held = room
+            held[used:more] = columns[name]
+
+    def grow(self) -> None:
+        """Make the lattices of the parts in ``known.new``."""
+        parts, self.known.new = self.known.new, []
         size = np.array([len(p) for p in parts], np.int64) + 1  # with the space mark
-        self.n = size
-        self.base = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-        nodes = int((size + 1).sum())
-        self.prob, self.id = np.zeros((nodes, top), np.float32), np.full((nodes, top), -1, np.int32)
-        self.log_z = np.zeros(len(parts))
-        self.char = np.zeros(nodes, np.int64)
-        #: Of each node: the likeliest next length less 1 and its probability, the sum of its row, and how many lengths it has.
-        self.best, self.best_p, self.total, self.options = np.zeros(nodes, np.int8), np.zeros(nodes, np.float32), np.zeros(nodes), np.zeros(nodes, np.int8)
-        for length in np.unique(size):
-            own = np.flatnonzero(size == length)
-            text = "".join([parts[i] for i in own])
+        old = len(self.n)
+        self.n, self.base = np.concatenate((self.n, size)), np.concatenate((self.base, np.zeros(len(size), np.int64)))
+        order = np.argsort(size, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
+            length = int(size[own[0]])
+            text = "".join([parts[i] for i in own.tolist()])
             c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(len(own), length - 1)
             c = np.where(c == 0x2581, LITERAL, c)
             c = np.concatenate((np.full((len(own), 1), 0x2581), c), axis=1)
-            self._bucket(own, c, int(length), top, table)
-
-    def _bucket(self, own, c, length, top, table):
-        u = len(own)
-        top = min(top, length)
-        score = np.full((u, length, top), -np.inf)
+            self.base[old + own] = self.nodes + np.arange(len(own)) * length
+            self._bucket(c)
+
+    def _bucket(self, c: np.ndarray) -> None:
+        """Append the lattices of parts of one length, given by their characters."""
+        u, length = c.shape
+        top, table = min(self.table.longest, length), self.table
+        x = np.zeros((u, length, top))
         ids = np.full((u, length, top), -1, np.int32)
         h = np.zeros((u, length), np.uint64)
         code = c.astype(np.uint64) + np.uint64(1)
         for k in range(1, top + 1):
             m = length - k + 1
             h = h[:, :m] * _MULT + code[:, k - 1 : k - 1 + m]
-            at, s, i = table.find(h)
+            at, w, i = table.find(h)
             row, col = np.divmod(at, m)
-            score[row, col, k - 1] = s
+            x[row, col, k - 1] = w
             ids[row, col, k - 1] = i
-        bare = np.isneginf(score[:, :, 0])
-        score[:, :, 0] = np.where(bare, table.byte_score * _utf8_len(c), score[:, :, 0])
-        back = np.full((u, length + top), -np.inf)
-        back[:, length] = 0
+        bare = x[:, :, 0] == 0
+        x[:, :, 0][bare] = np.exp(table.byte_score * _utf8_len(c[bare]))
+        # sums over all ways to the end, scaled to 1 every few positions so that long parts stay within doubles
+        back = np.zeros((u, length + top))
+        back[:, length] = 1
         for s in range(length - 1, -1, -1):
-            x = score[:, s, :] + back[:, s + 1 : s + 1 + top]
-            most = x.max(axis=1)
-            x = np.exp((x - most[:, None]).astype(np.float32))
-            total = x.sum(axis=1, dtype=np.float64)
-            back[:, s] = most + np.log(total)
-            score[:, s, :] = x / total[:, None]
-        rows = self.base[own][:, None] + np.arange(length)
-        prob = score.astype(np.float32)
-        self.prob[rows, :top] = prob
-        self.best[rows] = best = prob.argmax(axis=2)
-        self.best_p[rows] = np.take_along_axis(prob, best[:, :, None], axis=2)[:, :, 0]
-        self.total[rows] = prob.sum(axis=2, dtype=np.float64)
-        self.options[rows] = (prob > 0).sum(axis=2)
-        self.id[rows, :top] = ids
-        self.char[rows] = c
-        self.log_z[own] = back[:, 0]
+            m = min(top, length - s)
+            y = x[:, s, :m]
+            y *= back[:, s + 1 : s + 1 + m]
+            total = y.sum(axis=1)
+            y /= total[:, None]
+            back[:, s] = total
+            if s % 8 == 0:
+                back[:, s : s + top] /= total[:, None]
+        p = x.astype(np.float32).ravel()
+        flat = np.flatnonzero(p)
+        p = p[flat]
+        node, k = np.divmod(flat, top)
+        options = np.bincount(node, minlength=u * length)
+        first = np.cumsum(options) - options
+        best_p = np.maximum.reduceat(p, first)
+        likeliest = np.flatnonzero(p == best_p[node])
+        best = np.empty(u * length, np.int64)
+        best[node[likeliest[::-1]]] = likeliest[::-1]  # of ties the shortest
+        total = np.add.reduceat(p, first, dtype=np.float64)
+        self._append(self.NODES, self.nodes, {"first": first + self.arcs, "options": options, "best": best + self.arcs, "best_p": best_p, "total": total, "char": c.ravel()})
+        self._append(self.ARCS, self.arcs, {"arc_p": p, "arc_id": ids.ravel()[flat], "arc_len": k + 1})
+        self.nodes += u * length
+        self.arcs += len(p)
 
 
 def _uniform(*keys) -> np.ndarray:
@@ -191,50 +242,53 @@ def _uniform(*keys) -> np.ndarray:
 
 
 def _walk(lat: Lattices, part, start, seed, place, sample):
-    """Draw pieces from ``start`` to the end of every part: (counts, node rows, lengths), parts in order, end to end."""
+    """Draw pieces from ``start`` to the end of every part: (counts, nodes, arcs), parts in order, end to end."""
     pos, active, steps = start.copy(), np.arange(len(part)), []
     count = np.zeros(len(part), np.int64)
-    i = 0
-    active = active[pos < lat.n[part]]
+    base, size = lat.base[part], lat.n[part]
+    active = active[pos < size]
     while len(active):
-        p = part[active]
-        row = lat.base[p] + pos[active]
+        row = base[active] + pos[active]
         x = _uniform(seed[active], place[active], sample, pos[active]) * lat.total[row]
-        k = lat.best[row].astype(np.int64)
-        # the likeliest length takes the first part of the unit interval, the others follow in order
+        arc = lat.best[row]
+        # the likeliest arc takes the first part of the unit interval, the others follow in order of length
         other = np.flatnonzero(x >= lat.best_p[row])
         if len(other):
-            y = x[other] - lat.best_p[row[other]]
-            rest = lat.prob[row[other]]
-            rest[np.arange(len(other)), k[other]] = 0
-            cum = np.cumsum(rest, axis=1, dtype=np.float64)
-            pick = (cum <= np.minimum(y, cum[:, -1] * (1 - 1e-9))[:, None]).sum(axis=1)
-            k[other] = np.where(cum[:, -1] > 0, np.minimum(pick, cum.shape[1] - 1), k[other])
-        steps.append((active, row, k))
+            y, at, top = x[other] - lat.best_p[row[other]], lat.first[row[other]], arc[other]
+            end = at + lat.options[row[other]]
+            while len(other):
+                q = np.flatnonzero(at != top)
+                arc[other[q]] = at[q]  # the last one stands if rounding leaves a remainder
+                y[q] -= lat.arc_p[at[q]]
+                at += 1
+                q = np.flatnonzero((y >= 0) & (at < end))
+                other, y, at, top, end = other[q], y[q], at[q], top[q], end[q]
+        steps.append((active, row, arc))
         count[active] += 1
-        pos[active] += k + 1
-        active = active[pos[active] < lat.n[p]]
-        i += 1
-    first = np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count
-    rows, ks = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
-    for i, (a, row, k) in enumerate(steps):
-        rows[first[a] + i], ks[first[a] + i] = row, k
-    return count, rows, ks
+        pos[active] += lat.arc_len[arc]
+        active = active[pos[active] < size[active]]
+    first = np.cumsum(count) - count
+    rows, arcs = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
+    for i, (a, row, arc) in enumerate(steps):
+        at = first[a] + i
+        rows[at], arcs[at] = row, arc
+    return count, rows, arcs
 
 
-def _ids(lat: Lattices, rows, ks, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def _ids(lat: Lattices, rows, arcs, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of steps, and how many each step has (several where a character is spelled in bytes)."""
-    ids = lat.id[rows, ks]
+    ids = lat.arc_id[arcs]
     n = np.ones(len(ids), np.int64)
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids, n
-    spelled = [list((SPACE if c == LITERAL else chr(c)).encode("utf-8", "surrogatepass")) for c in lat.char[rows[bare]].tolist()]
-    n[bare] = [len(s) for s in spelled]
+    chars, which = np.unique(lat.char[rows[bare]], return_inverse=True)
+    spelled = [[table.byte_id[x] for x in (SPACE if c == LITERAL else chr(c)).encode("utf-8", "surrogatepass")] for c in chars.tolist()]
+    size = np.array([len(x) for x in spelled])
+    grid = np.array([x + [0] * (4 - len(x)) for x in spelled], np.int32)
+    n[bare] = size[which]
     out = np.repeat(ids, n)
-    ends = np.cumsum(n)
-    at = np.repeat(ends[bare] - n[bare], n[bare]) + np.concatenate([np.arange(len(s)) for s in spelled])
-    out[at] = [table.byte_id[x] for s in spelled for x in s]
+    out[np.repeat(ids < 0, n)] = grid[which][np.arange(4) < size[which][:, None]]
     return out, n
 
 
@@ -243,19 +297,22 @@ def _truncated(loc: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     return loc - np.logaddexp(loc - bound, np.log(-np.log(u)))
 
 
-def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SAMPLES, lat: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct segmentations in the order of their perturbed values: (ids, log probability, perturbed
-    value, log inclusion score). Null and empty texts have one, without pieces."""
+    value, log inclusion score). Null and empty texts have one, without pieces. ``lat``: lattices of earlier calls."""
     out: list[list] = [[] for _ in texts]
-    known: dict[str, int] = {}
+    lat = lat or Lattices(table)
+    if lat.nodes > HELD:
+        lat.clear()
+    number = lat.known.__getitem__
     flat: list[int] = []
     bounds = [0]
     for t in texts:
         if t:
-            flat.extend([known.setdefault(p, len(known)) for p in t.split(" ")])
+            flat.extend(map(number, t.split(" ")))
         bounds.append(len(flat))
     part, bounds = np.array(flat, np.int64), np.array(bounds)
-    lat = Lattices(list(known), table)
+    lat.grow()
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     place = np.arange(len(part)) - bounds[doc]
     seed = np.array(seeds, np.int64).astype(np.uint64)
@@ -274,16 +331,19 @@ def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SA
         first, begin, lead = bounds[docs].copy(), np.zeros(len(todo), np.int64), r > 0
         if lead:  # the step at which each leaves the sample that it shares
             row = np.array([found[d][x[2]]["rows"][x[3]] for d, x in zip(todo, regions, strict=True)])
-            left = lat.prob[row].astype(np.float64)
+            opening, choices = lat.first[row], lat.options[row]
+            column = np.arange(int(choices.max()))
+            inside = column < choices[:, None]
+            left = np.where(inside, lat.arc_p[np.where(inside, opening[:, None] + column, 0)], 0).astype(np.float64)
             for i, x in enumerate(regions):
-                left[i, list(x[5])] = 0
+                left[i, [q - opening[i] for q in x[5]]] = 0
             cum = np.cumsum(left, axis=1)
             shared = np.array([x[3] for x in regions])
             y = np.minimum(_uniform(seed[docs], shared, r, -7) * cum[:, -1], cum[:, -1] * (1 - 1e-12))
-            pick = np.minimum((cum <= y[:, None]).sum(axis=1), cum.shape[1] - 1)
+            pick = opening + np.minimum((cum <= y[:, None]).sum(axis=1), choices - 1)
             at = np.array([found[d][x[2]]["unit"][x[3]] for d, x in zip(todo, regions, strict=True)])
             first += at
-            begin = row - lat.base[part[first]] + pick + 1
+            begin = row - lat.base[part[first]] + lat.arc_len[pick]
         n = bounds[docs + 1] - first
         opens = np.concatenate(([0], np.cumsum(n)[:-1]))
         occ = np.arange(int(n.sum())) - np.repeat(opens, n) + np.repeat(first, n)
@@ -300,7 +360,7 @@ def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SA
         begins = ends - steps
         owner = np.repeat(np.arange(len(todo)), steps)
         index = np.arange(len(rows)) - begins[owner] + (shared[owner] if lead else 0)
-        p = lat.prob[rows, ks].astype(np.float64)
+        p = lat.arc_p[ks].astype(np.float64)
         logs = np.cumsum(np.log(np.maximum(p, 1e-300)))
         base = np.concatenate(([0.0], logs))[begins]
         offset = np.array([x[4] for x in regions]) - base
@@ -362,26 +422,51 @@ def _in_groups(texts: list[str | None]):
         yield a, len(texts)
 
 
+def _sampler(model: str, k: int):
+    """A function from texts and seeds to the samples of each text."""
+    table = pieces(model)
+    lat = Lattices(table)
+
+    def run(texts, seeds):
+        rows = []
+        for a, b in _in_groups(texts):
+            rows += [[{"ids": ids.tobytes(), "log_prob": p, "perturbed": g, "log_inclusion": i} for ids, p, g, i in found] for found in sample(texts[a:b], seeds[a:b], table, k, lat)]
+        return rows
+
+    return run
+
+
+def _seeded(docs: DataFrame, key_col: str) -> DataFrame:
+    return docs.withColumn("_seed", F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
+
+
 def sampled(docs: DataFrame, k: int = SAMPLES, text_col: str = "text", key_col: str = "doc_id", model: str = MODEL) -> DataFrame:
     """``docs`` with ``samples``: for each row up to k distinct segmentations (ids as little-endian int32 bytes).
 
     Null and empty texts have one segmentation without pieces; rows with equal keys and texts get equal samples.
     """
-    src = docs.withColumn("_seed", F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
 
     def make():
-        table = pieces(model)
+        run = _sampler(model, k)
+        return lambda texts, seeds: (run(texts, seeds),)
+
+    return add_columns(_seeded(docs, key_col), [text_col, "_seed"], SAMPLE_DDL, make, drop=["_seed"])
+
+
+def round_trip(docs: DataFrame, k: int = SAMPLES, text_col: str = "text", key_col: str = "doc_id", model: str = MODEL, drop: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``samples`` as by ``sampled`` and ``decoded``: whether every sample's ids decode to the whole text (null: the
+    empty one). Both in one pass, so that texts and ids go to Python once. Columns in ``drop`` are left out."""
+
+    def make():
+        run, table = _sampler(model, k), pieces(model)
 
-        def run(texts, seeds):
-            rows = []
-            for a, b in _in_groups(texts):
-                for found in sample(texts[a:b], seeds[a:b], table, k):
-                    rows.append([{"ids": ids.tobytes(), "log_prob": p, "perturbed": g, "log_inclusion": i} for ids, p, g, i in found])
-            return (rows,)
+        def both(texts, seeds):
+            rows = run(texts, seeds)
+            return rows, [all(table.decode(np.frombuffer(x["ids"], "<i4")) == (t or "") for x in row) for t, row in zip(texts, rows, strict=True)]
 
-        return run
+        return both
 
-    return add_columns(src, [text_col, "_seed"], SAMPLE_DDL, make).drop("_seed")
+    return add_columns(_seeded(docs, key_col), [text_col, "_seed"], SAMPLE_DDL + ", decoded boolean", make, drop=["_seed", *(drop or ())])
 
 
 def decoded(df: DataFrame, samples_col: str = "samples", model: str = MODEL) -> DataFrame:
@@ -397,7 +482,7 @@ def decoded(df: DataFrame, samples_col: str = "samples", model: str = MODEL) ->
 def report(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
     """One row per document: piece counts, log-probabilities, log inclusion scores and id digests of its samples, whether
     they differ from each other and whether each decodes to the text."""
-    s = decoded(sampled(docs.select("doc_id", "text"), k, model=model), model=model)
+    s = round_trip(docs.select("doc_id", "text"), k, model=model, drop=["text"])
     return s.select(
         "doc_id",
         F.size("samples").alias("n_samples"),
@@ -407,5 +492,5 @@ def report(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
         F.transform("samples", lambda x: F.round(x["log_inclusion"], 4)).alias("log_inclusions"),
         F.transform("samples", lambda x: F.sha2(x["ids"], 256)).alias("ids_sha256"),
         (F.size(F.array_distinct(F.transform("samples", lambda x: x["ids"]))) == F.size("samples")).alias("distinct"),
-        F.forall("texts", lambda t: t == F.coalesce("text", F.lit(""))).alias("decoded"),
+        "decoded",
     )

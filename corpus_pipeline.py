@@ -40,8 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each text: ids as int32 bytes, scores, and whether all decode to the text."""
     ship(spark)
-    out = pieces.decoded(pieces.sampled(docs))
-    return out.withColumn("decoded", F.forall("texts", lambda t: t == F.coalesce("text", F.lit("")))).drop("texts")
+    return pieces.round_trip(docs)
 
 
 STAGES = [
