@@ -18,6 +18,7 @@ its batch nor on its partition.
 from __future__ import annotations
 
 import heapq
+from array import array
 from functools import cache
 
 import numpy as np
@@ -35,7 +36,9 @@ LITERAL = 0x110001
 #: Characters that are worked on at a time.
 CHARS = 400_000
 #: Lattice nodes that a task keeps (about 55 bytes each).
-HELD = 2_000_000
+HELD = 1_500_000
+#: Steps of a region whose keys are always made, and a bound of ``_uniform``'s Gumbels (37.5).
+FIRST_STEPS, MOST_GUMBEL = 16, 38.0
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
 SAMPLE_DDL = "samples array<struct<ids:binary,log_prob:double,perturbed:double,log_inclusion:double>>"
@@ -112,12 +115,16 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids made by this module: without the space mark of the start."""
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, each: list[np.ndarray]) -> list[str]:
+        """The texts of several arrays of piece ids, in a few array operations."""
+        ids = np.concatenate([np.empty(0, np.int32), *each])
         n = self.spell_n[ids]
         ends = np.cumsum(n)
-        if not len(ids) or not ends[-1]:
-            return ""
-        at = np.repeat(self.spell_at[ids] - (ends - n), n) + np.arange(ends[-1])
-        return self.spell[at][1:].tobytes().decode("utf-8", "surrogatepass")
+        spelled = self.spell[np.repeat(self.spell_at[ids] - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
+        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, each)])].tolist()
+        return [spelled[a + 1 : b].decode("utf-8", "surrogatepass") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @cache
@@ -233,11 +240,17 @@ class Lattices:
         self.arcs += len(p)
 
 
-def _uniform(*keys) -> np.ndarray:
-    """Uniform numbers in (0, 1) from integer keys, by hashing."""
+def _state(*keys) -> np.ndarray:
+    """Hashes of integer keys, for ``_uniform``."""
     h = np.array([0x2545F4914F6CDD1D], np.uint64)
     for k in keys:
         h = mix(np.asarray(k).astype(np.uint64) + h * _MULT)
+    return h
+
+
+def _uniform(state, last) -> np.ndarray:
+    """Uniform numbers in (0, 1) from a state and one more integer key."""
+    h = mix(np.asarray(last).astype(np.uint64) + state * _MULT)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -245,11 +258,11 @@ def _walk(lat: Lattices, part, start, seed, place, sample):
     """Draw pieces from ``start`` to the end of every part: (counts, nodes, arcs), parts in order, end to end."""
     pos, active, steps = start.copy(), np.arange(len(part)), []
     count = np.zeros(len(part), np.int64)
-    base, size = lat.base[part], lat.n[part]
+    base, size, state = lat.base[part], lat.n[part], _state(seed, place, sample)
     active = active[pos < size]
     while len(active):
         row = base[active] + pos[active]
-        x = _uniform(seed[active], place[active], sample, pos[active]) * lat.total[row]
+        x = _uniform(state[active], pos[active]) * lat.total[row]
         arc = lat.best[row]
         # the likeliest arc takes the first part of the unit interval, the others follow in order of length
         other = np.flatnonzero(x >= lat.best_p[row])
@@ -294,7 +307,7 @@ def _ids(lat: Lattices, rows, arcs, table: Pieces) -> tuple[np.ndarray, np.ndarr
 
 def _truncated(loc: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbels at ``loc``, each at most its ``bound``."""
-    return loc - np.logaddexp(loc - bound, np.log(-np.log(u)))
+    return loc - np.log(np.exp(loc - bound) - np.log(u))
 
 
 def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SAMPLES, lat: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -305,19 +318,19 @@ def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SA
     if lat.nodes > HELD:
         lat.clear()
     number = lat.known.__getitem__
-    flat: list[int] = []
+    flat = array("q")
     bounds = [0]
     for t in texts:
         if t:
             flat.extend(map(number, t.split(" ")))
         bounds.append(len(flat))
     part, bounds = np.array(flat, np.int64), np.array(bounds)
+    size = np.diff(bounds)
     lat.grow()
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    doc = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(part)) - bounds[doc]
     seed = np.array(seeds, np.int64).astype(np.uint64)
-    size = np.diff(bounds)
-    top = -np.log(-np.log(_uniform(seed, -1, 0, 0))) if len(texts) else []
+    top = -np.log(-np.log(_uniform(_state(seed, -1, 0), 0))) if len(texts) else []
     # a region: key (negated), tie-breaker, sample whose first steps are shared, number of those, their log-probability,
     # pieces ruled out next
     heaps = [[(-float(g), 0, -1, 0, 0.0, ())] if n else [] for g, n in zip(top, size, strict=True)]
@@ -337,9 +350,10 @@ def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SA
             left = np.where(inside, lat.arc_p[np.where(inside, opening[:, None] + column, 0)], 0).astype(np.float64)
             for i, x in enumerate(regions):
                 left[i, [q - opening[i] for q in x[5]]] = 0
+            left_over, ruled_out = left.sum(axis=1), np.array([len(x[5]) for x in regions])
             cum = np.cumsum(left, axis=1)
             shared = np.array([x[3] for x in regions])
-            y = np.minimum(_uniform(seed[docs], shared, r, -7) * cum[:, -1], cum[:, -1] * (1 - 1e-12))
+            y = np.minimum(_uniform(_state(seed[docs], r, -7), shared) * cum[:, -1], cum[:, -1] * (1 - 1e-12))
             pick = opening + np.minimum((cum <= y[:, None]).sum(axis=1), choices - 1)
             at = np.array([found[d][x[2]]["unit"][x[3]] for d, x in zip(todo, regions, strict=True)])
             first += at
@@ -365,15 +379,40 @@ def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SA
         base = np.concatenate(([0.0], logs))[begins]
         offset = np.array([x[4] for x in regions]) - base
         before = np.concatenate(([0.0], logs[:-1])) + offset[owner]
-        rest, options = lat.total[rows] - p, lat.options[rows].astype(np.int64) - 1
-        if lead:
-            for i, x in enumerate(regions):
-                options[begins[i]] -= len(x[5])
-                rest[begins[i]] = left[i].sum() - p[begins[i]]
-        key = np.full(len(rows), -np.inf)
-        can = np.flatnonzero(options > 0)
-        bound = np.array([-x[0] for x in regions])
-        key[can] = _truncated(before[can] + np.log(np.maximum(rest[can], 1e-12)), bound[owner[can]], _uniform(seed[docs[owner[can]]], index[can], r, -9))
+        bound, state, passed = np.array([-x[0] for x in regions]), _state(seed[docs], r, -9), np.arange(len(rows)) - begins[owner]
+
+        def keyed(at):
+            """Of steps: those that other arcs leave, and the keys of the regions that do."""
+            own = owner[at]
+            options, rest = lat.options[rows[at]].astype(np.int64) - 1, lat.total[rows[at]] - p[at]
+            if lead:
+                opening_step = np.flatnonzero(passed[at] == 0)
+                of = own[opening_step]
+                options[opening_step] -= ruled_out[of]
+                rest[opening_step] = left_over[of] - p[at[opening_step]]
+            ok = options > 0
+            at, own, rest = at[ok], own[ok], rest[ok]
+            return at, _truncated(before[at] + np.log(np.maximum(rest, 1e-12)), bound[own], _uniform(state[own], index[at]))
+
+        def best(at, key):
+            """Steps and keys by owner, best first, with each one's rank."""
+            order = np.lexsort((-key, owner[at]))
+            at, key = at[order], key[order]
+            own = owner[at]
+            return at, key, np.arange(len(at)) - np.searchsorted(own, np.arange(len(todo)))[own]
+
+        # No more than the k + 1 best regions of a text can matter. A step's key is at most its log-probability plus the
+        # greatest Gumbel, so later steps count only where that reaches the least of those among the first steps.
+        need = k + 1 - r
+        at, key, rank = best(*keyed(np.flatnonzero(passed < FIRST_STEPS)))
+        floor = np.full(len(todo), -np.inf)
+        last = rank == need - 1
+        floor[owner[at[last]]] = key[last]
+        later, more = keyed(np.flatnonzero((passed >= FIRST_STEPS) & (before + MOST_GUMBEL >= floor[owner])))
+        reach = more >= floor[owner[later]]
+        later, more = later[reach], more[reach]
+        if len(later):
+            at, key, rank = best(np.concatenate((at, later)), np.concatenate((key, more)))
         for i, (d, x) in enumerate(zip(todo, regions, strict=True)):
             a, b = int(begins[i]), int(ends[i])
             own = {"rows": rows[a:b], "ks": ks[a:b], "unit": unit[a:b]}
@@ -381,20 +420,12 @@ def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SA
                 old = found[d][x[2]]
                 own = {c: np.concatenate((old[c][: x[3]], v)) for c, v in own.items()}
             found[d].append(own | {"log_prob": float(logs[b - 1] + offset[i]), "g": -x[0]})
-        # no more than the k + 1 best regions of a text can matter
-        for nth in range(k + 1 - r):
-            best = np.maximum.reduceat(key, begins)
-            if np.isneginf(best).all():
-                break
-            hit = np.flatnonzero(key == best[owner])
-            hit = hit[np.unique(owner[hit], return_index=True)[1]]
-            hit = hit[~np.isneginf(key[hit])]
-            for h in hit.tolist():
-                i = int(owner[h])
-                d, x = todo[i], regions[i]
-                gone = (*(x[5] if h == begins[i] else ()), int(ks[h]))
-                heapq.heappush(heaps[d], (-float(key[h]), (r + 1) * 10 + nth, len(found[d]) - 1, int(index[h]), float(before[h]), gone))
-            key[hit] = -np.inf
+        chosen = np.flatnonzero(rank < need)
+        for h, g, nth in zip(at[chosen].tolist(), key[chosen].tolist(), rank[chosen].tolist(), strict=True):
+            i = int(owner[h])
+            d, x = todo[i], regions[i]
+            gone = (*(x[5] if passed[h] == 0 else ()), int(ks[h]))
+            heapq.heappush(heaps[d], (-g, (r + 1) * 10 + nth, len(found[d]) - 1, int(index[h]), float(before[h]), gone))
     every = [(d, x) for d, xs in enumerate(found) for x in xs]
     if every:
         ids, n = _ids(lat, np.concatenate([x["rows"] for _, x in every]), np.concatenate([x["ks"] for _, x in every]), table)
@@ -422,16 +453,20 @@ def _in_groups(texts: list[str | None]):
         yield a, len(texts)
 
 
-def _sampler(model: str, k: int):
-    """A function from texts and seeds to the samples of each text."""
+def _sampler(model: str, k: int, check: bool = False):
+    """A function from texts and seeds to the samples of each text and, with ``check``, whether all decode to the text."""
     table = pieces(model)
     lat = Lattices(table)
 
     def run(texts, seeds):
-        rows = []
+        rows, same = [], []
         for a, b in _in_groups(texts):
-            rows += [[{"ids": ids.tobytes(), "log_prob": p, "perturbed": g, "log_inclusion": i} for ids, p, g, i in found] for found in sample(texts[a:b], seeds[a:b], table, k, lat)]
-        return rows
+            found = sample(texts[a:b], seeds[a:b], table, k, lat)
+            rows += [[{"ids": ids.tobytes(), "log_prob": p, "perturbed": g, "log_inclusion": i} for ids, p, g, i in x] for x in found]
+            if check:
+                back = iter(table.decode_all([np.frombuffer(y["ids"], "<i4") for x in rows[a:b] for y in x]))
+                same += [all([next(back) == (t or "") for _ in x]) for t, x in zip(texts[a:b], found, strict=True)]
+        return (rows, same) if check else (rows,)
 
     return run
 
@@ -445,28 +480,13 @@ def sampled(docs: DataFrame, k: int = SAMPLES, text_col: str = "text", key_col:
 
     Null and empty texts have one segmentation without pieces; rows with equal keys and texts get equal samples.
     """
-
-    def make():
-        run = _sampler(model, k)
-        return lambda texts, seeds: (run(texts, seeds),)
-
-    return add_columns(_seeded(docs, key_col), [text_col, "_seed"], SAMPLE_DDL, make, drop=["_seed"])
+    return add_columns(_seeded(docs, key_col), [text_col, "_seed"], SAMPLE_DDL, lambda: _sampler(model, k), drop=["_seed"])
 
 
 def round_trip(docs: DataFrame, k: int = SAMPLES, text_col: str = "text", key_col: str = "doc_id", model: str = MODEL, drop: list[str] | None = None) -> DataFrame:
     """``docs`` with ``samples`` as by ``sampled`` and ``decoded``: whether every sample's ids decode to the whole text (null: the
     empty one). Both in one pass, so that texts and ids go to Python once. Columns in ``drop`` are left out."""
-
-    def make():
-        run, table = _sampler(model, k), pieces(model)
-
-        def both(texts, seeds):
-            rows = run(texts, seeds)
-            return rows, [all(table.decode(np.frombuffer(x["ids"], "<i4")) == (t or "") for x in row) for t, row in zip(texts, rows, strict=True)]
-
-        return both
-
-    return add_columns(_seeded(docs, key_col), [text_col, "_seed"], SAMPLE_DDL + ", decoded boolean", make, drop=["_seed", *(drop or ())])
+    return add_columns(_seeded(docs, key_col), [text_col, "_seed"], SAMPLE_DDL + ", decoded boolean", lambda: _sampler(model, k, check=True), drop=["_seed", *(drop or ())])
 
 
 def decoded(df: DataFrame, samples_col: str = "samples", model: str = MODEL) -> DataFrame:
