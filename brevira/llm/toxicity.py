@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, release
 
 BITS, DIM, WINDOW, ORDERS = 18, 8, 12, (3, 4, 5)
 #: Bound of the training sample: labelled rows by class, in the order of a hash of their ids, and the largest text that
@@ -99,22 +99,27 @@ def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: in
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
-    bags, owner = [], []
+    # the n-gram rows of a text are held once; its windows, half overlapping, are places in them
+    held, spans, owner = [], [], []
     for i, t in enumerate(texts):
         rows, s, e = features(t)
-        for a, b in zip(*windows(s, e), strict=True):
-            if b > a:
-                bags.append(rows[a:b].astype(np.int32))
-                owner.append(i)
-    owner = np.array(owner)
+        held.append(rows.astype(np.int32))
+        a, b = windows(s, e)
+        spans.append(np.stack((a, b), axis=1)[b > a])
+        owner.append(np.full(len(spans[-1]), i))
+    spans, owner = np.concatenate(spans), np.concatenate(owner)
+
+    def bag(i: int) -> np.ndarray:
+        return held[owner[i]][spans[i, 0] : spans[i, 1]]
+
     emb = (rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     seen_e, seen_o, seen_b = np.full(1 << BITS, 1e-4, np.float32), np.full((DIM, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)
 
     def step(pick: np.ndarray, rate: float) -> None:
         nonlocal out, bias, seen_o, seen_b
-        ids = np.concatenate([bags[i] for i in pick])
-        size = np.array([len(bags[i]) for i in pick])
+        ids = np.concatenate([bag(i) for i in pick])
+        size = spans[pick, 1] - spans[pick, 0]
         at = np.concatenate(([0], np.cumsum(size)[:-1]))
         mean = np.add.reduceat(emb[ids], at, axis=0) / size[:, None]
         z = mean @ out + bias
@@ -144,10 +149,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: in
 
     def logits() -> tuple[np.ndarray, np.ndarray]:
         t = emb @ (out[:, 1] - out[:, 0])
-        return t, np.array([t[b].mean() for b in bags]) + bias[1] - bias[0]
+        return t, np.array([t[bag(i)].mean() for i in range(len(owner))]) + bias[1] - bias[0]
 
     # a toxic document's windows mostly are clean: all windows of a few per document, classes in balance
-    order = rng.permutation(len(bags))
+    order = rng.permutation(len(owner))
     rank = pd.Series(order).groupby(owner[order]).cumcount().to_numpy()
     few = order[rank < 16]
     pos, neg = few[y[owner[few]] == 1], few[y[owner[few]] == 0]
@@ -204,7 +209,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
     rows = training_rows(docs, labels, **bounds)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    model = train([t for t, _ in rows], [y for _, y in rows])
+    del rows
+    release()  # the driver goes on after the fit
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
