@@ -211,3 +211,17 @@ def test_pieces():
     for ids, q in p.items():
         assert sum(f[0][0].tobytes() == ids for f in got) / n == pytest.approx(q, abs=0.03)
     assert pieces.sample(["b"], [7], table, 2)[0][0][1] == pieces.sample(["zz", "b"], [1, 7], table, 2)[1][0][1]
+
+
+def test_pieces_do_not_depend_on_kept_lattices_or_the_step_bound(monkeypatch):
+    table = pieces.pieces(pieces.MODEL)
+    texts = ["the cat runs", "日本 x▁y", None, "", " ", "  a", "q" * 70 + " b", "unbelievable cat " * 30]
+    want = pieces.sample(texts, list(range(len(texts))), table, 3)
+    monkeypatch.setattr(pieces, "HELD", 20)
+    monkeypatch.setattr(pieces, "FIRST_STEPS", 10**9)
+    kept = pieces.Lattices(table)
+    for i, (t, found) in enumerate(zip(texts, want, strict=True)):
+        got = pieces.sample([t], [i], table, 3, kept)[0]
+        assert [x[0].tolist() for x in got] == [x[0].tolist() for x in found]
+        assert all(abs(a - b) < 1e-6 for x, y in zip(got, found, strict=True) for a, b in zip(x[1:], y[1:], strict=True))
+        assert table.decode_all([x[0] for x in got]) == [t or ""] * len(got)
