@@ -4,14 +4,18 @@ Pages are parsed into element trees. The source of every element outside the art
 none) is hashed together with the page's host; Spark counts on how many pages of its host each hash occurs, and elements
 that recur on many of them are deleted with all that they hold. What is left is read as the page's main text:
 the article (``article``, ``main``), or the whole body where there is none, without elements that are page furniture by
-their tag, role or class. Elements of the article itself are never deleted for recurring: copies of a text on
-several pages stay whole.
+their tag, role or class.
+
+Inside the article the small blocks that are not paragraphs are counted too, by the different articles that hold them, and go
+if half of the host's articles do. Articles are told apart by their longest paragraph, so copies of a text on several pages
+count as one and stay whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -22,6 +26,9 @@ from .urls import split_url
 
 #: An element is a template if it recurs on so many pages of its host, and on that share of them.
 MIN_PAGES, MIN_SHARE = 4, 0.05
+#: A block of the article is one if it recurs in so many different articles of its host, on that share of them, and has at
+#: most so many characters and that share of the text around it.
+MIN_ARTICLES, ARTICLE_SHARE, MOST_CHARS, MOST_PART = 4, 0.5, 1000, 0.5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -31,6 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ROOTS = frozenset(("article", "main"))
+#: Elements of the article that never go for recurring.
+PARAGRAPHS = INLINE | ROOTS | frozenset("html body head p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd caption thead tbody tfoot tr td th colgroup figcaption summary".split())
 #: Tags that are never main text; the second set only outside the article.
 FURNITURE = RAW | frozenset("nav footer aside form head button select dialog menu object embed audio video canvas".split())
 OUTSIDE = frozenset(("header",))
@@ -45,6 +54,10 @@ CLOSES |= {"li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd
 STOPS = frozenset("html body article main section div ul ol dl table nav aside footer header form blockquote".split())
 
 
+def _hash(host: str, source: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{host}\0{source}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Page:
     """Elements of a page, in order: tag, parent, source start and end, furniture or not; and its text tokens."""
 
@@ -149,10 +162,58 @@ class Page:
         for i in range(1, len(self.tags)):
             if i in around or (self.inside[i] and self.roots) or self.tags[i] in ("html", "body", "head"):
                 continue
-            source = " ".join(self.html[self.starts[i] : self.ends[i]].split())
-            out[i] = int.from_bytes(hashlib.blake2b(f"{host}\0{source}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            out[i] = _hash(host, self._source(i))
         return out
 
+    def _source(self, i: int) -> str:
+        return " ".join(self.html[self.starts[i] : self.ends[i]].split())
+
+    def blocks(self, host: str) -> tuple[int | None, dict[int, tuple[int, int]]]:
+        """The article's hash (None without one), and for each of its elements that may be a template the element's hash and that
+        of the article without it."""
+        if not self.roots:
+            return None, {}
+        runs: list[tuple[int, str]] = []  # (element, text) of the article's text blocks
+        now: list[tuple[int, str]] = []
+        for node, text, _ in [*self.texts, (0, None, "")]:
+            if text is not None:
+                if self.inside[node] and not self.junk[node]:
+                    now.append((node, text))
+            elif now:
+                block = " ".join("".join(x for _, x in now).split())
+                if block:
+                    runs.append((now[0][0], block))
+                now = []
+        last = list(range(len(self.tags)))
+        for i in range(len(last) - 1, 0, -1):
+            last[self.parents[i]] = max(last[self.parents[i]], last[i])
+        before = [0] * (len(last) + 1)  # characters of the text blocks of elements before each
+        for n, b in runs:
+            before[n + 1] += len(b)
+        before = list(itertools.accumulate(before))
+        may = []
+        for i in range(1, len(last)):
+            if self.inside[i] and self.inside[self.parents[i]] and not self.junk[i] and self.tags[i] not in PARAGRAPHS:
+                size = before[last[i] + 1] - before[i]
+                if 0 < size <= min(MOST_CHARS, MOST_PART * (before[-1] - size)):
+                    may.append(i)
+        within = [False] * len(last)
+        for i in may:
+            if not within[i]:
+                within[i : last[i] + 1] = [True] * (last[i] + 1 - i)
+        runs.sort(key=lambda x: -len(x[1]))
+        main = next((b for n, b in runs if not within[n]), None)
+        whole = _hash("", main if main is not None else runs[0][1] if runs else "")
+        out = {}
+        for i in may:
+            article = whole if main is not None else _hash("", next(b for n, b in runs if not i <= n <= last[i]))
+            out[i] = (_hash(f"{host}\0article", self._source(i)), article)
+        return whole, out
+
+    def dead(self, host: str, bad: set[int]) -> set[int]:
+        """The elements whose hashes are in ``bad``."""
+        return {i for i, h in self.subtrees(host).items() if h in bad} | {i for i, (h, _) in self.blocks(host)[1].items() if h in bad}
+
     def text(self, gone: set[int] = frozenset()) -> str:
         """Main text without the elements of ``gone`` and all below them."""
         dead = [False] * len(self.tags)
@@ -180,17 +241,29 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
 
     def make():
         def hashes(urls, htmls):
-            hosts = [split_url(u)[0] for u in urls]
-            return hosts, [sorted(set(Page(h).subtrees(host).values())) for h, host in zip(htmls, hosts, strict=True)]
+            hosts, outer, articles, inner = [split_url(u)[0] for u in urls], [], [], []
+            for h, host in zip(htmls, hosts, strict=True):
+                page = Page(h)
+                outer.append(sorted(set(page.subtrees(host).values())))
+                article, blocks = page.blocks(host)
+                articles.append(article)
+                inner.append([{"h": x, "article": y} for x, y in sorted(set(blocks.values()))])
+            return hosts, outer, articles, inner
 
         return hashes
 
     src = _keyed(pages.select(url_col, html_col), url_col, html_col)
-    own = stash(pages.sparkSession, add_columns(src, [url_col, html_col], "_host string, _hashes array<long>", make).select("_key", "_host", "_hashes"), "subtrees")
+    own = stash(pages.sparkSession, add_columns(src, [url_col, html_col], "_host string, _hashes array<long>, _article long, _blocks array<struct<h:long,article:long>>", make).select("_key", "_host", "_hashes", "_article", "_blocks"), "subtrees")
     total = own.groupBy("_host").agg(F.count("*").alias("_pages"))
     each = own.select("_key", "_host", F.explode("_hashes").alias("_h"))
     often = each.groupBy("_host", "_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
     often = often.join(total, "_host").where(F.col("_n") >= F.col("_pages") * F.lit(min_share)).select("_host", "_h")
+    if not own.where("size(_blocks) > 0").isEmpty():
+        inner = own.select("_key", "_host", F.explode("_blocks").alias("_b")).select("_key", "_host", F.col("_b.h").alias("_h"), F.col("_b.article").alias("_a"))
+        articles = own.where("_article is not null").groupBy("_host").agg(F.countDistinct("_article").alias("_articles"))
+        within = inner.groupBy("_host", "_h").agg(F.countDistinct("_a").alias("_n")).where(F.col("_n") >= MIN_ARTICLES)
+        within = within.join(articles, "_host").where(F.col("_n") >= F.col("_articles") * F.lit(ARTICLE_SHARE)).select("_host", "_h")
+        each, often = each.unionByName(inner.drop("_a")), often.unionByName(within)
     # a key stands for equal pages
     return each.distinct().join(often, ["_host", "_h"]).groupBy("_key").agg(F.collect_set("_h").alias("_gone"))
 
@@ -207,7 +280,7 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", ou
             for url, html, hashes in zip(urls, htmls, gone, strict=True):
                 page = Page(html)
                 bad = set(hashes or ())
-                out.append(page.text({i for i, h in page.subtrees(split_url(url)[0]).items() if h in bad} if bad else frozenset()))
+                out.append(page.text(page.dead(split_url(url)[0], bad) if bad else frozenset()))
             return (out,)
 
         return read

@@ -198,6 +198,17 @@ def test_html_templates(spark):
     assert got == [(i, f"text {i}") for i in range(6)] + [(6, ""), (7, "same on all"), (7, "same on all")]
 
 
+def test_html_templates_in_articles(spark):
+    box, body = "<div class='x1'><ul><li>Get our app</li><li>Rate it</li></ul></div>", "long words of the text that tell it from the others "
+    page = lambda i, n: f"<body><article><h1>Title {i}</h1><p>{body}{n}.</p>{box}<div><p>copied part</p></div><p>End {i}.</p></article></body>"
+    rows = [(i, f"http://a.com/{i}", page(i, i)) for i in range(6)] + [(10 + i, f"http://b.com/{i}", page(i, 0)) for i in range(6)] + [(20 + i, f"http://c.com/{i}", page(i, i)) for i in range(3)]
+    rows += [(30 + i, f"http://d.com/{i}", page(i, i) if i < 5 else f"<article><p>{body}{i}</p></article>") for i in range(11)]
+    got = {r.page_id: r.text for r in html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = lambda i, n: f"Title {i} {body}{n}. Get our app Rate it copied part End {i}."
+    assert all(got[i] == f"Title {i} {body}{i}. End {i}." for i in range(6))
+    assert all(got[10 + i] == whole(i, 0) for i in range(6)) and all(got[20 + i] == whole(i, i) for i in range(3)) and all(got[30 + i] == whole(i, i) for i in range(5))
+
+
 def test_pieces():
     table = pieces.pieces(pieces.MODEL)
     texts = [t for _, t in ODD if t is None or len(t) < 1000] + ["a cat", "  two  spaces ", "x" * 300]
