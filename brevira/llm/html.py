@@ -52,6 +52,23 @@ OUTSIDE_CLASSES = frozenset(("header", "masthead", "topbar", "widget"))
 CLOSES = {t: frozenset(("p",)) for t in "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
 STOPS = frozenset("html body article main section div ul ol dl table nav aside footer header form blockquote".split())
+#: Kinds of furniture: a form, by a class or id, and what no article lies in.
+FORM, NAMED, HARD = 1, 2, 3
+FORM_ROLES = frozenset(("form", "search"))
+COMMENTS = frozenset("comment comments commentlist respond disqus".split())
+#: Names that tell what an element goes with, or wraps, and not what it is.
+APART, AROUND = frozenset("with without no not non has".split()), frozenset("wrap wrapper layout".split())
+STUDIES = frozenset("work works research literature studies".split())
+
+
+def named(value: str) -> set[str]:
+    """Words of a class or id, but for those of names that don't name the element."""
+    out: set[str] = set()
+    for name in value.split():
+        words = re.split(r"[_-]+", name)
+        if not (APART.intersection(words[:-1]) or (len(words) > 1 and words[-1] in AROUND)):
+            out.update(w for w, after in zip(words, [*words[1:], ""], strict=True) if not (w == "related" and after in STUDIES))
+    return out
 
 
 def _hash(host: str, source: str) -> int:
@@ -59,14 +76,20 @@ def _hash(host: str, source: str) -> int:
 
 
 class Page:
-    """Elements of a page, in order: tag, parent, source start and end, furniture or not; and its text tokens."""
+    """Elements of a page, in order: tag, parent, source start and end, furniture or not; and its text tokens.
+
+    ``article`` and ``main`` are roots in a form too, and ``main`` in any element that is furniture by its class. An ``article``
+    in such an element waits: it counts only where the page has no other root.
+    """
 
-    __slots__ = ("ends", "html", "inside", "junk", "parents", "roots", "starts", "tags", "texts")
+    __slots__ = ("ends", "html", "inside", "junk", "marks", "parents", "roots", "starts", "tags", "texts", "waiting")
 
     def __init__(self, html: str | None):
         self.html = html = html or ""
-        self.tags, self.parents, self.starts, self.ends, self.junk, self.inside = ["#"], [-1], [0], [len(html)], [False], [False]
+        self.tags, self.parents, self.starts, self.ends, self.junk, self.inside = ["#"], [-1], [0], [len(html)], [0], [False]
+        self.marks = [0]
         self.roots: list[int] = []
+        self.waiting: list[int] = []
         self.texts: list[tuple[int, str | None, str]] = []  # (element, text or None for an edge, tag of the edge)
         stack, at = [0], 0
         size = len(html)
@@ -102,34 +125,48 @@ class Page:
                 self._pop(stack, len(stack) - 1, at, at)
         while len(stack) > 1:
             self._pop(stack, len(stack) - 1, size, size)
+        if self.waiting:
+            self.junk = [j and (j == 2 or bool(self.roots)) for j in self.junk]
+            self.roots = self.roots or self.waiting
 
     def _text(self, node: int, text: str) -> None:
-        if text and not self.junk[node]:
+        if text and self.junk[node] < 2:
             self.texts.append((node, text, ""))
 
     def _open(self, stack: list[int], tag: str, attributes: str, start: int) -> int:
         up = stack[-1]
-        inside = self.inside[up]
-        junk = self.junk[up] or tag in FURNITURE or (not inside and tag in OUTSIDE)
-        if not junk and attributes:
+        inside, mark = self.inside[up], self.marks[up]
+        own = FORM if tag == "form" else HARD if tag in FURNITURE else NAMED if not inside and tag in OUTSIDE else 0
+        main = tag == "main"
+        if own < HARD and mark < HARD and attributes:
             for m in ATTRIBUTE.finditer(attributes):
-                words = set(re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()))
+                value = (m[2] or m[3] or m[4] or "").lower()
                 if m[1].lower() == "role":
-                    junk |= bool(words & ROLES)
-                    inside |= "main" in words and not self.junk[up]
-                elif tag not in ("html", "body", "article", "main") or "comment" in words or "comments" in words:
-                    junk |= bool(words & CLASSES) or (not self.inside[up] and bool(words & OUTSIDE_CLASSES))
-        if tag in ROOTS and not junk:
-            inside = True
+                    words = set(re.split(r"[\s_-]+", value))
+                    main |= "main" in words
+                    if words & ROLES:
+                        own = max(own, FORM if words & ROLES <= FORM_ROLES else HARD)
+                    continue
+                words = named(value)
+                if words & COMMENTS and (tag not in ("html", "body", "article", "main") or "comment" in words or "comments" in words):
+                    own = HARD
+                elif tag not in ("html", "body", "article", "main") and (words & CLASSES or (not inside and words & OUTSIDE_CLASSES)):
+                    own = max(own, NAMED)
+        root = not inside and mark < HARD and (main or tag in ROOTS) and own < (HARD if main else FORM)
+        wait = root and mark > FORM and not main
+        mark = 0 if root else max(mark, own)
+        junk = 2 if mark else 1 if wait else self.junk[up] if inside else 0
+        inside |= root
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(up)
         self.starts.append(start)
         self.ends.append(len(self.html))
         self.junk.append(junk)
+        self.marks.append(mark)
         self.inside.append(inside)
-        if inside and not self.inside[up]:
-            self.roots.append(node)
+        if root:
+            (self.waiting if wait else self.roots).append(node)
         stack.append(node)
         if tag not in INLINE:
             self.texts.append((node, None, tag))
@@ -218,14 +255,14 @@ class Page:
         """Main text without the elements of ``gone`` and all below them."""
         dead = [False] * len(self.tags)
         for i in range(1, len(dead)):
-            dead[i] = dead[self.parents[i]] or self.junk[i] or i in gone
+            dead[i] = dead[self.parents[i]] or i in gone
         blocks, now = [], []
         for node, text, _ in self.texts:
             if text is None:
                 if now:
                     blocks.append(" ".join("".join(now).split()))
                     now = []
-            elif not dead[node] and (self.inside[node] or not self.roots):
+            elif not dead[node] and not self.junk[node] and (self.inside[node] or not self.roots):
                 now.append(entities.unescape(text))
         if now:
             blocks.append(" ".join("".join(now).split()))

@@ -192,6 +192,15 @@ def test_html():
     assert html.Page(page).text() == "A & B onetwo x y z" and html.Page(None).text() == "" and html.Page("<p>a<!-- c --><script>b</script> < d").text() == "a < d"
 
 
+def test_html_articles_in_furniture():
+    text = lambda page: html.Page(page).text()
+    whole = ["<div class='content-sidebar-wrap'><main><p>body</p></main></div>", "<div class='with-sidebar'><article><p>body</p></article></div>", "<form id='aspnetForm'><div>m</div><article><p>body</p><form>x</form></article></form>"]
+    whole += ["<div class='sidebar'><main><p>body</p></main></div>", "<div class='menu'><article><p>body</p></article></div>", "<article><div class='related-work'><p>body</p></div></article>", "<article><div class='no-comments'><p>body</p></div><div class='related-posts'>x</div></article>"]
+    assert [text(x) for x in whole] == ["body"] * len(whole)
+    assert text("<main>body</main><div class='sidebar'><article>x</article></div>") == "body" and text("<main>body<div class='related'><article>x</article></div></main>") == "body"
+    assert text("<aside><article>x</article></aside><p>body") == "body" and text("<ol class='comments'><li><article>x</article></ol><p>body") == "body" and text("<nav><main>x</main></nav><p>body") == "body"
+
+
 def test_html_templates(spark):
     rows = [(i, f"http://h.com/{i}", f"<body><div>same on all</div><p>text {i}</p></body>") for i in range(6)] + [(6, None, None), (7, "http://o.com/", "<div>same on all</div>"), (7, "http://o.com/", "<div>same on all</div>")]
     got = sorted((r.page_id, r.text) for r in html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
