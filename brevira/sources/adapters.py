@@ -177,8 +177,8 @@ def detected(records: DataFrame, look: int = 5) -> DataFrame:
         F.when(has("$.function_calls") | has("$.function_responses"), "adk")
         .when(has("$.additional_kwargs") | F.get_json_object(b, "$.type").isin("human", "ai"), "langchain")
         .when(has("$.subtype") | has("$.message"), "agent_sdk")
-        .when(b.rlike(r'"type"\s*:\s*\\?"tool-(?:call|result)\\?"'), "vercel")
-        .when(b.rlike(r'"type"\s*:\s*\\?"(?:tool_use|tool_result|thinking)\\?"'), "anthropic")
+        .when(b.rlike(r'"type\\?"\s*:\s*\\?"tool-(?:call|result)\\?"'), "vercel")
+        .when(b.rlike(r'"type\\?"\s*:\s*\\?"(?:tool_use|tool_result|thinking)\\?"'), "anthropic")
     )
     return r.withColumn("f", kind).groupBy("conv_id").agg(F.coalesce(F.min_by("f", F.when(F.col("f").isNotNull(), F.col("_k"))), F.lit("openai")).alias("framework"))
 

@@ -124,6 +124,26 @@ def test_config():
         Config(token_budget=5)
 
 
+def test_adapters_keep_every_row_and_call(spark):
+    from brevira.plans.queries import QUERIES
+    from brevira.sources import adapters as A
+    from brevira.sources.messages import derived
+
+    call = lambda k: {"id": f"c{k}", "type": "function", "name": "read_file", "arguments": f'{{"path": "a{k}"}}'}
+    rows = [(1, 0, "user", "q", None, None), (1, 1, "assistant", "", None, [call(1), call(2)]), (1, 2, "tool", "t1", "c1", None), (1, 3, "tool", "t2", "c2", None), (1, 4, "assistant", "text too", None, [call(3)])]
+    m = spark.createDataFrame(rows, f"conv_id long, idx long, role string, content string, tool_call_id string, tool_calls {A.CALLS}")
+    m = A.shaped(m)
+    want = {(r.idx, r.role, r.content, r.tool_call_id, str(r.tool_calls)) for r in m.collect()}
+    sf = "/root/testdata/sf0.001"
+    whole = derived(spark, sf)
+    n, n_calls = whole.count(), whole.where("size(tool_calls) > 0").count()
+    for name, (into, out) in A.ADAPTERS.items():
+        assert {(r.idx // A.SPREAD, r.role, r.content, r.tool_call_id, str(r.tool_calls)) for r in into(out(m)).collect()} == want
+        assert A.detected(out(m)).first().framework == name
+        back = QUERIES[f"adapter_whole_{name}"](spark, sf)
+        assert back.count() == n and back.where("calls <> ''").count() == n_calls > 0
+
+
 def test_sql_names_are_queries():
     from brevira.plans.queries import QUERIES, SQL
 
