@@ -51,7 +51,7 @@ def tool_type(content, name) -> Column:
     )
 
 
-def classified(messages: DataFrame, recent_turns: int = 2, overrides: dict[str, str] | None = None) -> DataFrame:
+def classified(messages: DataFrame, recent_turns: int | Column = 2, overrides: dict[str, str] | None = None) -> DataFrame:
     """Zone-3 rows with ctype, policy, protected, tokens, relevance, importance and shield at their defaults.
 
     A row is recent if it stands after the ``recent_turns``-th user row from the end; with fewer user rows, after the
@@ -63,7 +63,8 @@ def classified(messages: DataFrame, recent_turns: int = 2, overrides: dict[str,
     rows = rows.withColumn("_u", F.when(user, nth_user))
     whole = conv().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nth = F.max(F.when(F.col("_u") == recent_turns, F.col("idx"))).over(whole)
-    after = F.lit(False) if recent_turns <= 0 else F.col("idx") > F.coalesce(nth, F.min("idx").over(whole))
+    turns = recent_turns if isinstance(recent_turns, Column) else F.lit(recent_turns)
+    after = (turns > 0) & (F.col("idx") > F.coalesce(nth, F.min("idx").over(whole)))
     sub = tool_type(F.col("content"), F.col("name"))
     rows = rows.withColumn("_recent", after).withColumn("_sub", F.when(F.col("role") == "tool", sub))
     ctype = (

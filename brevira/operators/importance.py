@@ -133,12 +133,13 @@ def _clause(x) -> Column:
     return F.when(n <= 5, x).otherwise(F.array_join(F.concat(F.slice(words, 1, 2), even), " "))
 
 
-def discourse(rows: DataFrame, recent_turns: int = 2, needles: DataFrame | None = None) -> DataFrame:
+def discourse(rows: DataFrame, recent_turns: int | Column = 2, needles: DataFrame | None = None) -> DataFrame:
     """Elaborating clauses of COMPRESSIBLE rows before the recent turns are cut, unless they hold a critical string."""
     n = F.sum(F.when(F.col("role") == "user", 1)).over(from_end())
     r = rows.withColumn("_u", F.when(F.col("role") == "user", n)).withColumn("_all", F.max("_u").over(conv().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    at = F.lit(max(recent_turns, 1)) if recent_turns > 0 else F.col("_all")
-    r = r.withColumn("_b", F.when(F.coalesce("_all", F.lit(0)) > recent_turns, F.max(F.when(F.col("_u") == at, F.col("idx"))).over(conv().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.lit(-1)))
+    turns = recent_turns if isinstance(recent_turns, Column) else F.lit(recent_turns)
+    at = F.when(turns > 0, turns).otherwise(F.col("_all"))
+    r = r.withColumn("_b", F.when(F.coalesce("_all", F.lit(0)) > turns, F.max(F.when(F.col("_u") == at, F.col("idx"))).over(conv().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.lit(-1)))
     empty = F.array().cast("array<string>")
     r = r.join(needles.select("conv_id", "needles"), "conv_id", "left") if needles is not None else r.withColumn("needles", empty)
     on = ~F.col("policy").isin(*LOCKED) & ~F.col("protected") & (F.col("idx") < F.col("_b")) & (F.col("shield") == "COMPRESSIBLE")

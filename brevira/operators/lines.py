@@ -18,9 +18,9 @@ def in_line():
     return Window.partitionBy(*KEY).orderBy("pos")
 
 
-def exploded(rows: DataFrame) -> DataFrame:
-    """(conv_id, idx, pos, line) of eligible rows."""
-    return rows.where(F.col("policy").isin(*POLICIES)).select(*KEY, F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+def exploded(rows: DataFrame, *more: str) -> DataFrame:
+    """(conv_id, idx, pos, line) of eligible rows, and the columns ``more``."""
+    return rows.where(F.col("policy").isin(*POLICIES)).select(*KEY, *more, F.posexplode(F.split("content", "\n")).alias("pos", "line"))
 
 
 def joined(lines: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def blank_runs(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_b", blank).withColumn("_p", F.lag("_b").over(in_line())).where(~(F.col("_b") & F.coalesce("_p", F.lit(False)))).drop("_b", "_p")
 
 
-def low_entropy(lines: DataFrame, threshold: float = 1.8) -> DataFrame:
+def low_entropy(lines: DataFrame, threshold: float | Column = 1.8) -> DataFrame:
     """Lines below so many bits per character go, unless blank or with a path or a digit."""
     s = strip(F.col("line"))
     return lines.where((s == "") | s.rlike(K.PATH) | s.rlike(r"\d") | (F.round(entropy(s), 9) >= threshold))
@@ -74,7 +74,11 @@ def truncated(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
 
 def cleaned(rows: DataFrame, threshold: float | Column = 1.8) -> DataFrame:
     """All line rules in their order; rows of other policies stay as they are."""
-    text = joined(repeated(low_entropy(blank_runs(exploded(rows)), threshold)))
+    if isinstance(threshold, Column):
+        lines, threshold = exploded(rows.withColumn("_least", threshold), "_least"), F.col("_least")
+    else:
+        lines = exploded(rows)
+    text = joined(repeated(low_entropy(blank_runs(lines), threshold)))
     again = text.select(*KEY, F.posexplode(F.split(without_boilerplate(F.col("text")), "\n")).alias("pos", "line"))
     new = joined(truncated(blank_runs(again)))
     return rows.join(new, KEY, "left").withColumn("content", F.when(F.col("policy").isin(*POLICIES), F.coalesce("text", F.lit(""))).otherwise(F.col("content"))).drop("text")
@@ -95,7 +99,7 @@ def rereads(rows: DataFrame) -> DataFrame:
     return rows.withColumn("content", F.when(F.col("_h").isNotNull() & (F.col("_f") < F.col("idx")), note).otherwise(F.col("content"))).drop("_h", "_f")
 
 
-def masked(rows: DataFrame, critical: DataFrame | None = None, least_results: int = 10, least_chars: int = 500, force: bool = False) -> DataFrame:
+def masked(rows: DataFrame, critical: DataFrame | None = None, least_results: int = 10, least_chars: int = 500, force: bool | Column = False) -> DataFrame:
     """Long tool results of conversations with many of them become a header, a key line and up to ten critical lines.
 
     ``critical``: conv_id, needles (array of strings).
@@ -118,5 +122,5 @@ def masked(rows: DataFrame, critical: DataFrame | None = None, least_results: in
     head = F.concat(F.lit("[Tool: "), F.coalesce("name", F.lit("tool")), F.when(key != "", F.concat(F.lit('("'), key, F.lit('")'))).otherwise(""), F.lit(" — "), (F.size(F.split(c, "\n"))).cast("string"), F.lit(" lines]"))
     kept = F.slice(F.array_distinct(F.filter(stripped, lambda x: (x != "") & contains_any(x, F.coalesce("needles", F.array().cast("array<string>"))))), 1, 10)
     text = F.concat(head, F.lit("\nKey: "), summary, F.when(F.size(kept) > 0, F.concat(F.lit("\nPreserved: "), F.array_join(kept, " | "))).otherwise(""))
-    on = result & ~F.col("protected") & (F.length(c) >= least_chars) & (F.lit(True) if force else F.col("_n") >= least_results)
+    on = result & ~F.col("protected") & (F.length(c) >= least_chars) & ((force if isinstance(force, Column) else F.lit(force)) | (F.col("_n") >= least_results))
     return rows.withColumn("content", F.when(on, text).otherwise(c)).drop("_n", "needles")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators import budget as B
 from ..operators import classify as C
 from ..operators import coalesce as S
@@ -21,6 +23,8 @@ from .config import Config, pressure, resolved, thresholds
 
 COLUMNS = ["conv_id", "idx", "role", "content", "name", "tool_call_id", "tool_calls", "metadata", "compressed"]
 FULL = ("full", "standard")
+#: Settings of a row's conversation under its pressure.
+SETTINGS = {"_turns": "recent_turns", "_keep": "keep_ratio", "_entropy": "entropy", "_engines": "engines", "_mask": "mask", "_tier": "forced_tier"}
 
 
 @dataclass
@@ -31,25 +35,42 @@ class Result:
     originals: DataFrame  # (conv_id, idx, original) of every row that was rewritten or dropped
 
 
-def compress(messages: DataFrame, config: Config = Config(), tasks: DataFrame | None = None, windows: DataFrame | None = None, tier: str | None = None) -> Result:
+def compress(messages: DataFrame, config: Config = Config(), tasks: DataFrame | None = None, windows: DataFrame | None = None, tier: str | None = None, flush: bool = False) -> Result:
     """Shrink every conversation of ``messages``.
 
-    ``tasks``: conv_id, task. ``windows``: conv_id, window, usage, reserve; conversations without pressure pass unchanged.
+    ``tasks``: conv_id, task. ``windows``: conv_id, window, usage, reserve; conversations without pressure pass unchanged,
+    or with ``flush`` are shrunk by ``config`` as it is. Under pressure each has its own recent turns, budget, keep ratio, entropy,
+    masking, tier and engines. Model-written summaries, reordering and dedup across windows are not part of the chain.
     ``tier``: of all conversations (full, standard, fast, ultra_fast). Without it each has that of its size, and the
     slow layers run on the rows of full and standard ones only. Rewritten rows are flagged ``compressed`` in the output.
     Rows are written to the shared folder between groups of layers, so that no plan grows with the number of layers.
     """
     idle = None
     if windows is not None:
-        w = thresholds(pressure(resolved(messages, windows)), config)
+        w = staged(thresholds(pressure(resolved(messages, windows)), config))
+        if flush:
+            w = w.withColumn("engines", F.when(F.col("skip"), F.array(*map(F.lit, K.ENGINES["CRITICAL"]))).otherwise(F.col("engines"))).withColumn("skip", F.lit(False))
         idle = messages.join(w.where("skip").select("conv_id"), "conv_id", "left_semi")
         messages = messages.join(w.where("not skip").select("conv_id"), "conv_id", "left_semi")
-        budgets = w.select("conv_id", "budget")
+        budgets = w.where("not skip").select("conv_id", "budget")
+        marked = messages.join(w.select("conv_id", *[F.col(v).alias(k) for k, v in SETTINGS.items()]), "conv_id")
+        turns, keep, entropy, mask = (F.col(c) for c in ("_turns", "_keep", "_entropy", "_mask"))
     else:
-        w, budgets = None, messages.select("conv_id").distinct().withColumn("budget", F.lit(config.token_budget).cast("long"))
-    rows = C.classified(messages, config.recent_turns, config.policies)
+        marked, turns, keep, entropy, mask = messages, config.recent_turns, config.keep_ratio, config.entropy, config.mask
+        budgets = messages.select("conv_id").distinct().withColumn("budget", F.lit(config.token_budget).cast("long"))
+
+    def gated(engine: str, df: DataFrame, layer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``layer`` on the conversations whose pressure calls for its engine; on all where no windows are given."""
+        if windows is None:
+            return layer(df)
+        on = F.array_contains("_engines", engine)
+        return layer(df.where(on)).unionByName(df.where(~on))
+
+    rows = C.classified(marked, turns, config.policies)
     sized = C.tiers(rows).select("conv_id", "tier") if tier is None and config.tier is None else None
     rows = rows.join(sized, "conv_id") if sized is not None else rows.withColumn("tier", F.lit(tier or config.tier))
+    if windows is not None:
+        rows = rows.withColumn("tier", F.coalesce("_tier", "tier"))
     rows = staged(rows)
     facts = staged(X.extracted(rows))
     critical, protected = X.needles(X.critical_strings(facts)), X.needles(X.protected_strings(facts))
@@ -65,15 +86,14 @@ def compress(messages: DataFrame, config: Config = Config(), tasks: DataFrame |
     edges = staged(exact.unionByName(near).unionByName(logical))
     work = staged(work)
     work = S.coalesced(work, config.coalesce_chars)
-    work = L.masked(L.rereads(work), critical) if w is None else L.masked(L.rereads(work), critical, force=config.mask)
-    work = L.cleaned(work, config.entropy)
-    work = T.pruned(staged(work), config.keep_ratio, needles=critical)
-    work = J.structured(work, config.json_limit, config.signatures)
+    work = gated("verbatim", staged(work) if windows is not None else work, lambda x: L.cleaned(L.masked(L.rereads(x), critical, force=mask), entropy))
+    work = gated("pruner", staged(work), lambda x: T.pruned(x, keep, needles=critical))
+    work = gated("structural", work, lambda x: J.structured(x, config.json_limit, config.signatures))
     work = staged(work)
     slow, fast = work.where(deep), work.where(~deep)
-    slow = I.relevance_pruned(staged(I.scored(slow)), edges, facts, protected)
-    slow = I.discourse(slow, config.recent_turns, critical)
-    rows = slow.unionByName(fast).unionByName(held)
+    slow = gated("relevance", staged(gated("importance", slow, I.scored)), lambda x: I.relevance_pruned(x, edges, facts, protected))
+    slow = gated("discourse", slow, lambda x: I.discourse(x, turns, critical))
+    rows = slow.unionByName(fast).unionByName(held).drop(*SETTINGS)
     rows = B.scored(staged(rows), tasks, config.drop_below, critical)
     fixed = C.zones(messages).where("zone < 3")
     used = fixed.groupBy("conv_id").agg(F.sum(F.ceil(F.length("content") / F.lit(3.5)).cast("long")).alias("_z"))

@@ -317,6 +317,12 @@ def compress_report(spark, sf_dir):
     return r.report.select("conv_id", "rows_in", "tokens_in", "rows_out", "tokens_out", F.round("ratio", 6).alias("ratio"))
 
 
+def compress_windows(spark, sf_dir):
+    """The chain with a context window for each conversation: those under pressure are shrunk by their own settings."""
+    r = compress(derived(spark, sf_dir), Config(recent_turns=RECENT), _tasks(spark, sf_dir), _windows(spark, sf_dir))
+    return r.report.select("conv_id", "rows_in", "tokens_in", "rows_out", "tokens_out", F.round("ratio", 6).alias("ratio"))
+
+
 def session_stream(spark, sf_dir):
     from ..streaming.session import Sessions
 
@@ -334,7 +340,7 @@ QUERIES = {
         chunk_dedup, coalesce_runs, lines_blank, lines_entropy, lines_repeated, lines_truncated, lines_boilerplate, lines_cleaned, rereads, observation_masks, token_idf, token_idf_merged,
         token_prune, json_and_signatures, phase, importance, shields, query_relevance, relevance_prune, discourse, task_scores, budget_drop, budget_full, reorder, orphans, tool_integrity,
         report, decision_log, ledger, ledger_facts, ledger_text, critical_strings, protected_strings, reasoning_chains, question_arcs, supersessions, signals,
-        *map(_round_trip, A.ADAPTERS), *map(_whole_round_trip, A.ADAPTERS), detect_framework, transcript, compress_report, session_stream,
+        *map(_round_trip, A.ADAPTERS), *map(_whole_round_trip, A.ADAPTERS), detect_framework, transcript, compress_report, compress_windows, session_stream,
     )
 }
 

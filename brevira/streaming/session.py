@@ -53,7 +53,8 @@ class Sessions:
         busy = whole.join(due.select("conv_id"), "conv_id", "left_semi")
         calm = whole.join(due.select("conv_id"), "conv_id", "left_anti")
         # rows that an earlier compaction left are flagged and pass through unchanged
-        done = compress(busy, self.config).messages
+        windows = None if self.window is None else busy.select("conv_id").distinct().select("conv_id", F.lit(self.window).alias("window"), F.lit(self.reserve).alias("reserve"), F.lit(0).alias("usage"))
+        done = compress(busy, self.config, windows=windows, flush=flush).messages
         calm.unionByName(done).write.mode("overwrite").parquet(self._path(version))
         touched = batch.select("conv_id").distinct() if not flush else whole.select("conv_id").distinct()
         acted = due.select("conv_id").withColumn("_d", F.lit(True))

@@ -1,6 +1,7 @@
 """Operators on hand-written rows."""
 
 import math
+import random
 import re
 
 import pytest
@@ -144,6 +145,21 @@ def test_adapters_keep_every_row_and_call(spark):
         assert back.count() == n and back.where("calls <> ''").count() == n_calls > 0
 
 
+def test_pressure_sets_the_layers(spark):
+    from brevira.plans.compress import compress
+
+    rng = random.Random(5)
+    text = lambda: "\n".join(" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(12)) for _ in range(5))
+    texts = [(c, i, "user" if i % 2 else "tool", f"user turn {i} asks for the state" if i % 2 else text(), "fetch") for c in (2, 3, 4) for i in range(12)]
+    windows = spark.createDataFrame([(2, 12_000, 0, 6_600), (3, 12_000, 0, 11_400), (4, 120_000, 0, 0)], "conv_id long, window long, reserve long, usage long")
+    r = compress(messages(spark, texts), Config(recent_turns=2), windows=windows)
+    out = {(x.conv_id, x.idx): x.content for x in r.messages.collect()}
+    was = {(t[0], t[1]): t[3] for t in texts}
+    assert all(out[4, i] == was[4, i] for i in range(12))  # NONE
+    assert all(out[2, i] == was[2, i] for i in range(0, 8, 2))  # LOW: no pruning of words
+    assert sum(len(t) for (c, _), t in out.items() if c == 3) < sum(len(t) for (c, _), t in out.items() if c == 2) / 2  # CRITICAL: masked, pruned, in its budget
+
+
 def test_sql_names_are_queries():
     from brevira.plans.queries import QUERIES, SQL
 
