@@ -89,6 +89,12 @@ def near_cosine(spark, sf_dir):
     return e.select("conv_id", "src", "dst", F.round("similarity", 6).alias("similarity"))
 
 
+def near_cosine_all(spark, sf_dir):
+    """:func:`near_cosine` on rows of every type."""
+    e = D.near_by_cosine(work(spark, sf_dir), 0.8)
+    return e.select("conv_id", "src", "dst", F.round("similarity", 6).alias("similarity"))
+
+
 def near_minhash(spark, sf_dir):
     return D.near_by_minhash(work(spark, sf_dir), 0.8)
 
@@ -336,7 +342,7 @@ def session_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        conversation_classes, classify, class_totals, tiers, zone_order, window_pressure, adaptive_thresholds, exact_dedup, cross_window_dedup, near_cosine, near_minhash, near_marked,
+        conversation_classes, classify, class_totals, tiers, zone_order, window_pressure, adaptive_thresholds, exact_dedup, cross_window_dedup, near_cosine, near_cosine_all, near_minhash, near_marked,
         chunk_dedup, coalesce_runs, lines_blank, lines_entropy, lines_repeated, lines_truncated, lines_boilerplate, lines_cleaned, rereads, observation_masks, token_idf, token_idf_merged,
         token_prune, json_and_signatures, phase, importance, shields, query_relevance, relevance_prune, discourse, task_scores, budget_drop, budget_full, reorder, orphans, tool_integrity,
         report, decision_log, ledger, ledger_facts, ledger_text, critical_strings, protected_strings, reasoning_chains, question_arcs, supersessions, signals,

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -160,6 +161,33 @@ def test_pressure_sets_the_layers(spark):
     assert sum(len(t) for (c, _), t in out.items() if c == 3) < sum(len(t) for (c, _), t in out.items() if c == 2) / 2  # CRITICAL: masked, pruned, in its budget
 
 
+def test_near_cosine_all_against_plain_python(spark):
+    from brevira.plans.queries import QUERIES, work
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.conv_id, r.src): (r.dst, r.similarity) for r in QUERIES["near_cosine_all"](spark, sf).collect()}
+    groups = {}
+    for r in work(spark, sf).where("policy not in ('PRESERVE', 'LIGHT')").collect():
+        groups.setdefault((r.conv_id, r.ctype), []).append((r.idx, Counter(re.findall(r"\w+", r.content.lower()))))
+    want, close = {}, set()
+    for (conv, _), rows in groups.items():
+        n, vectors = len(rows), []
+        df = Counter(w for _, c in rows for w in c)
+        for idx, c in sorted(rows, key=lambda x: x[0]):
+            v = {w: k / sum(c.values()) * (math.log((n + 1) / (df[w] + 1)) + 1) for w, k in c.items()}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            vectors.append((idx, {w: x / norm for w, x in v.items()}))
+        for i, (src, a) in enumerate(vectors):
+            for dst, b in vectors[i + 1 :]:
+                s = sum(x * b.get(w, 0.0) for w, x in a.items())
+                if abs(s - 0.8) < 1e-6:
+                    close.add((conv, src))
+                if s >= 0.8:
+                    want.setdefault((conv, src), (dst, s))
+    assert got.keys() - close == want.keys() - close and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want.keys() - close)
+    assert {t for (_, t), rows in groups.items() if len(rows) > 1} - {"TOOL_RESULT_TEXT", "CODE_BLOCK"}
+
+
 def test_sql_names_are_queries():
     from brevira.plans.queries import QUERIES, SQL
 
