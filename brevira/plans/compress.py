@@ -35,6 +35,11 @@ class Result:
     originals: DataFrame  # (conv_id, idx, original) of every row that was rewritten or dropped
 
 
+def near_edges(work: DataFrame, exact: DataFrame, threshold: float) -> DataFrame:
+    """Near duplicates among the rows that exact dedup has not made into notes."""
+    return D.near(work.join(exact.select("conv_id", F.col("src").alias("idx")), ["conv_id", "idx"], "left_anti"), threshold)
+
+
 def compress(messages: DataFrame, config: Config = Config(), tasks: DataFrame | None = None, windows: DataFrame | None = None, tier: str | None = None, flush: bool = False) -> Result:
     """Shrink every conversation of ``messages``.
 
@@ -79,8 +84,8 @@ def compress(messages: DataFrame, config: Config = Config(), tasks: DataFrame |
     work, held = rows.where(~F.col("protected")), rows.where("protected")
     work, exact = D.exact(work)
     deep = F.col("tier").isin(*FULL)
-    work = staged(work)
-    near = staged(D.near(work.where(deep & ~F.col("content").startswith("[")), config.dedup_threshold))
+    work, exact = staged(work), staged(exact)
+    near = staged(near_edges(work.where(deep), exact, config.dedup_threshold))
     work = D.chunked(D.mark(work, near))
     near = near.select("conv_id", F.lit("dedup").alias("kind"), "src", "dst")
     edges = staged(exact.unionByName(near).unionByName(logical))

@@ -161,6 +161,19 @@ def test_pressure_sets_the_layers(spark):
     assert sum(len(t) for (c, _), t in out.items() if c == 3) < sum(len(t) for (c, _), t in out.items() if c == 2) / 2  # CRITICAL: masked, pruned, in its budget
 
 
+def test_near_copies_of_texts_in_brackets(spark):
+    from brevira.operators.classify import classified
+    from brevira.operators.dedup import exact
+    from brevira.plans.compress import near_edges
+
+    array = lambda n: "[" + ", ".join(f'{{"id": {i}, "name": "row{i}"}}' for i in range(n)) + "]"
+    log = "[2026-01-01 10:00:00] started the loader and read all rows of the table in one pass"
+    rows = [(1, 0, "tool", array(40)), (1, 1, "tool", array(41)), (1, 2, "tool", array(40)), (1, 3, "tool", log + " a"), (1, 4, "tool", log + " b"), (1, 9, "user", "q")]
+    work, edges = exact(classified(messages(spark, rows), 1).where("not protected"))
+    assert {(e.src, e.dst) for e in edges.collect()} == {(2, 0)}
+    assert {(e.src, e.dst) for e in near_edges(work, edges, 0.8).collect()} == {(0, 1), (3, 4)}
+
+
 def test_near_cosine_all_against_plain_python(spark):
     from brevira.plans.queries import QUERIES, work
 
