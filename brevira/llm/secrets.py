@@ -8,7 +8,9 @@ keys over the usual alphabets against words, identifiers, paths and numbers.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -29,6 +31,10 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Average log-likelihood ratio per character, and of the token, from which a token counts as random.
 PER_CHAR, WHOLE = 0.5, 14.0
 
+#: Parts of a token between separators are judged too, from so many characters on.
+PART = re.compile(r"[A-Za-z0-9+]+")
+LEAST = 20
+
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -81,21 +87,55 @@ def train(samples: Iterable[tuple[str, int]]) -> Models:
     return Models(Chain.fit(s for s, y in samples if y), Chain.fit(s for s, y in samples if not y))
 
 
+def _random(s: str, models: Models) -> bool:
+    ratio = models.ratio(s)
+    return ratio >= WHOLE and ratio >= PER_CHAR * len(s)
+
+
+def _keys(token: str, models: Models) -> list[tuple[int, int]]:
+    """Random stretches of a token: all of it, or else runs of its parts at separators, the longest first.
+
+    A run starts and ends with a part that is random by itself, so that no word beside a key belongs to it; a part
+    counts as such on its own share of the bar, as the whole run has to reach the whole bar.
+    """
+    if len(token) >= LEAST and _random(token, models):
+        return [(0, len(token))]
+    parts = [m.span() for m in PART.finditer(token)]
+    if not parts or parts == [(0, len(token))]:
+        return []
+    out = []
+    at = 0
+    likely = [models.ratio(token[a:b]) >= PER_CHAR * (b - a) for a, b in parts]
+    while at < len(parts):
+        end = at
+        if likely[at]:
+            while end + 1 < len(parts) and likely[end + 1]:
+                end += 1
+            a, b = parts[at][0], parts[end][1]
+            if b - a >= LEAST and _random(token[a:b], models):
+                pad = len(token) - len(token[b:].lstrip("="))
+                out.append((a, pad))
+        at = end + 1
+    return out
+
+
 def scan(text: str | None, models: Models) -> list[tuple[str, int, int]]:
     """(kind, start, end) by code points, by start and then kind; base spans as the patterns give them, then
-    random tokens that touch none of those."""
+    random tokens, or parts of tokens, outside those."""
     text = text or ""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     base = sorted((a, b) for _, a, b in found)
+    tops = list(itertools.accumulate((b for _, b in base), max))
     for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y in base):
-            continue
-        ratio = models.ratio(m[0])
-        if ratio >= WHOLE and ratio >= PER_CHAR * (b - a):
-            found.append(("markov", a, b))
+        at, end = m.span()
+        for x, y in [*base[bisect.bisect_right(tops, at) :], (end, end)]:  # the stretches between base spans
+            if at < min(x, end):
+                found += [("markov", at + a, at + b) for a, b in _keys(text[at : min(x, end)], models)]
+            at = max(at, y)
+            if at >= end:
+                break
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
