@@ -89,6 +89,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of an array of numbers."""
+    _grow(len(x) + 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _pow[: len(x)], out=total[1:])
+    return mix((total[ends] - total[starts]) * _ipow[starts])
+
+
 def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a text, A-Z lower-cased, as (64-bit hashes, byte starts, byte ends, lower-cased bytes).
 
@@ -100,10 +108,7 @@ def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     is_word = ((low - np.uint8(97)) < 26) | ((low - np.uint8(48)) < 10) | (low >= 128)
     edge = np.diff(is_word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    _grow(len(low) + 1)
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _pow[: len(low)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _ipow[starts]), starts, ends, low
+    return span_hashes(low, starts, ends), starts, ends, low
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """SentencePiece encoding by Gumbel top-k sampling without replacement, and decoding.
 
-A text is cut at its spaces; every part begins with the space mark, and the pieces of a part form a lattice. Piece
+A text is cut before its runs of spaces; every part begins with space marks, and the pieces of a part form a lattice. Piece
 scores fall with a piece's rank in the vocabulary as 1 / (rank + 2); characters that no piece covers
 become byte pieces. Backward sums over the lattices of all distinct parts of a batch, in arrays, give the exact
 probability of every next piece.
@@ -18,14 +18,13 @@ its batch nor on its partition.
 from __future__ import annotations
 
 import heapq
-from array import array
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, mix
+from .common import add_columns, mix, span_hashes
 
 #: The public model; a parameter of the operators.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,8 +34,11 @@ SPACE = "▁"
 LITERAL = 0x110001
 #: Characters that are worked on at a time.
 CHARS = 400_000
-#: Lattice nodes that a task keeps (about 55 bytes each).
-HELD = 1_500_000
+#: Lattice nodes that a task keeps (about 55 bytes each), and cells (8 bytes) of the lattices that are made at a time; one
+#: part alone may have more.
+HELD, CELLS = 1_500_000, 2_000_000
+#: Parts up to which the last steps of a walk are taken one part after the other, and steps whose numbers are made at once.
+FEW, RUN = 4, 64
 #: Steps of a region whose keys are always made, and a bound of ``_uniform``'s Gumbels (37.5).
 FIRST_STEPS, MOST_GUMBEL = 16, 38.0
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -65,7 +67,7 @@ class Pieces:
                 spell[i] = bytes([int(p[3:5], 16)])
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 spell[i] = p.replace(SPACE, " ").encode()
-                if SPACE not in p[1:]:  # parts hold one space mark, at the start
+                if SPACE not in p.lstrip(SPACE):  # parts hold space marks at the start only
                     words.append(p)
                     ids.append(i)
         rank = np.argsort(np.argsort([-m.get_score(i) for i in ids], kind="stable"), kind="stable")
@@ -84,6 +86,9 @@ class Pieces:
         self.at[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
         self.crowded = np.zeros(1 << SLOT_BITS, bool)
         self.crowded[slot[self.at[slot] != np.arange(len(slot))]] = True
+        # slots of the beginnings of longer pieces
+        self.longer = np.zeros(1 << SLOT_BITS, bool)
+        self.longer[self._slot(np.array([self._hash(w) for w in {w[:k] for w in words for k in range(1, len(w))}], np.uint64))] = True
         size = np.array([len(s) for s in spell])
         self.spell_at, self.spell_n = np.concatenate(([0], np.cumsum(size)[:-1])), size
         self.spell = np.frombuffer(b"".join(spell), np.uint8)
@@ -99,19 +104,18 @@ class Pieces:
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of polynomial hashes: where pieces are, their weights and ids."""
-        flat = h.ravel()
-        slot = self._slot(flat)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of polynomial hashes: where pieces are, their weights and ids, and where longer pieces may start alike."""
+        slot = self._slot(h)
         p = self.at[slot]
         at = np.flatnonzero(p >= 0)
-        p, own = p[at], flat[at]
+        p, own = p[at], h[at]
         ok = self.key[p] == own
         again = np.flatnonzero(~ok & self.crowded[slot[at]])
         if len(again):
             q = np.minimum(np.searchsorted(self.key, own[again]), len(self.key) - 1)
             ok[again], p[again] = self.key[q] == own[again], q
-        return at[ok], self.weight[p[ok]], self.ids[p[ok]]
+        return at[ok], self.weight[p[ok]], self.ids[p[ok]], np.flatnonzero(self.longer[slot])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids made by this module: without the space mark of the start."""
@@ -132,28 +136,15 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class _Numbers(dict):
-    """Numbers of parts in the order of their first use; ``new`` collects parts that have no lattice yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, part: str) -> int:
-        self[part] = n = len(self)
-        self.new.append(part)
-        return n
-
-
 class Lattices:
     """Lattices of distinct parts: for every node (part, position) the arcs to the next nodes by length, each with its
     probability and piece id (-1: a character in bytes).
 
-    Lattices are kept from one call to the next, as frequent parts recur; beyond ``HELD`` nodes all are dropped and made
-    anew when met again, so memory is bounded.
+    Lattices are kept from one call to the next, as frequent parts recur. Beyond ``HELD`` nodes only parts that were met
+    again are kept, the most frequent first, up to half as many; others are made anew when met again. So memory is bounded.
     """
 
-    NODES = {"first": np.int32, "options": np.int8, "best": np.int32, "best_p": np.float32, "total": np.float64, "char": np.int32}
+    NODES = {"first": np.int32, "options": np.int8, "best": np.int32, "best_p": np.float32, "share": np.float32, "total": np.float64, "char": np.int32}
     ARCS = {"arc_p": np.float32, "arc_id": np.int32, "arc_len": np.int8}
 
     def __init__(self, table: Pieces):
@@ -161,12 +152,40 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.known = _Numbers()
-        self.n, self.base = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes of parts, in order, and their numbers
+        self.n, self.base, self.uses = (np.empty(0, np.int64) for _ in range(3))
         self.nodes = self.arcs = 0
         for name, kind in (self.NODES | self.ARCS).items():
             setattr(self, name, np.empty(0, kind))
 
+    def thin(self) -> None:
+        """Drop what is held beyond the bound."""
+        if self.nodes <= HELD:
+            return
+        by = np.argsort(-self.uses, kind="stable")
+        by = by[(self.uses[by] > 1) & (np.cumsum(self.n[by]) <= HELD // 2)]
+        keep = np.sort(by)
+        if not len(keep):
+            self.clear()
+            return
+        at, n = self.base[keep], self.n[keep]
+        base = np.cumsum(n) - n
+        node = np.arange(int(n.sum())) + np.repeat(at - base, n)
+        arcs = np.add.reduceat(self.options[node].astype(np.int64), base)
+        old, new = self.first[at].astype(np.int64), np.cumsum(arcs) - arcs
+        arc = np.arange(int(arcs.sum())) + np.repeat(old - new, arcs)
+        moved = np.repeat(new - old, n)
+        columns = {name: getattr(self, name)[node] for name in self.NODES}
+        columns["first"], columns["best"] = columns["first"] + moved, columns["best"] + moved
+        columns |= {name: getattr(self, name)[arc] for name in self.ARCS}
+        number = np.full(len(self.n), -1, np.int64)
+        number[keep] = np.arange(len(keep))
+        number = number[self.numbers]
+        self.keys, self.numbers = self.keys[number >= 0], number[number >= 0]
+        self.n, self.base, self.uses, self.nodes, self.arcs = n, base, self.uses[keep] // 2, len(node), len(arc)
+        for name, kind in (self.NODES | self.ARCS).items():
+            setattr(self, name, columns[name].astype(kind, copy=False))
+
     def _append(self, kinds: dict, used: int, columns: dict) -> None:
         more = used + len(next(iter(columns.values())))
         for name in kinds:
@@ -178,52 +197,68 @@ class Lattices:
                 held = room
             held[used:more] = columns[name]
 
-    def grow(self) -> None:
-        """Make the lattices of the parts in ``known.new``."""
-        parts, self.known.new = self.known.new, []
-        size = np.array([len(p) for p in parts], np.int64) + 1  # with the space mark
-        old = len(self.n)
-        self.n, self.base = np.concatenate((self.n, size)), np.concatenate((self.base, np.zeros(len(size), np.int64)))
+    def number(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the parts that stand at these places of ``code`` (characters, with marks); lattices of new ones are made."""
+        own, at, which, uses = np.unique(span_hashes(code, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+        place = np.searchsorted(self.keys, own)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != own) if len(self.keys) else np.arange(len(own))
+        numbers = np.empty(len(own), np.int64)
+        old = np.ones(len(own), bool)
+        old[new] = False
+        numbers[old] = self.numbers[place[old]]
+        numbers[new] = len(self.n) + np.arange(len(new))
+        self.keys, self.numbers = np.insert(self.keys, place[new], own[new]), np.insert(self.numbers, place[new], numbers[new])
+        starts, size = starts[at[new]], ends[at[new]] - starts[at[new]]
+        first = len(self.n)
+        self.n, self.base, self.uses = (np.concatenate((x, y)) for x, y in ((self.n, size), (self.base, np.zeros(len(new), np.int64)), (self.uses, np.zeros(len(new), np.int64))))
+        self.uses[numbers] += uses
         order = np.argsort(size, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
-            length = int(size[own[0]])
-            text = "".join([parts[i] for i in own.tolist()])
-            c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(len(own), length - 1)
-            c = np.where(c == 0x2581, LITERAL, c)
-            c = np.concatenate((np.full((len(own), 1), 0x2581), c), axis=1)
-            self.base[old + own] = self.nodes + np.arange(len(own)) * length
-            self._bucket(c)
+        for same in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
+            length = int(size[same[0]])
+            many = max(1, CELLS // (length * min(self.table.longest, length)))
+            for some in (same[i : i + many] for i in range(0, len(same), many)):
+                self.base[first + some] = self.nodes + np.arange(len(some)) * length
+                self._bucket(code[starts[some][:, None] + np.arange(length)])
+        return numbers[which]
 
     def _bucket(self, c: np.ndarray) -> None:
-        """Append the lattices of parts of one length, given by their characters."""
+        """Append the lattices of parts of one length, given by their characters. Cells are (position, length, part), so
+        that every step works on all parts at once."""
         u, length = c.shape
         top, table = min(self.table.longest, length), self.table
-        x = np.zeros((u, length, top))
-        ids = np.full((u, length, top), -1, np.int32)
-        h = np.zeros((u, length), np.uint64)
+        x = np.zeros((length, top, u))
+        ids = np.full((length, top, u), -1, np.int32)
+        c = np.ascontiguousarray(c.T).ravel()
         code = c.astype(np.uint64) + np.uint64(1)
+        # places from which a longer piece may still start, their hashes so far, and their cells
+        at, h = np.arange(length * u), np.zeros(length * u, np.uint64)
+        cell = at + at // u * ((top - 1) * u)
+        flat_x, flat_ids = x.ravel(), ids.ravel()
         for k in range(1, top + 1):
-            m = length - k + 1
-            h = h[:, :m] * _MULT + code[:, k - 1 : k - 1 + m]
-            at, w, i = table.find(h)
-            row, col = np.divmod(at, m)
-            x[row, col, k - 1] = w
-            ids[row, col, k - 1] = i
-        bare = x[:, :, 0] == 0
-        x[:, :, 0][bare] = np.exp(table.byte_score * _utf8_len(c[bare]))
+            m = np.searchsorted(at, (length - k + 1) * u)
+            at, cell = at[:m], cell[:m]
+            if not m:
+                break
+            h = h[:m] * _MULT + code[at + (k - 1) * u]
+            hit, w, i, longer = table.find(h)
+            to = cell[hit] + (k - 1) * u
+            flat_x[to], flat_ids[to] = w, i
+            at, cell, h = at[longer], cell[longer], h[longer]
+        bare = x[:, 0] == 0
+        x[:, 0][bare] = np.exp(table.byte_score * _utf8_len(c[bare.ravel()]))
         # sums over all ways to the end, scaled to 1 every few positions so that long parts stay within doubles
-        back = np.zeros((u, length + top))
-        back[:, length] = 1
+        back = np.zeros((length + top, u))
+        back[length] = 1
         for s in range(length - 1, -1, -1):
             m = min(top, length - s)
-            y = x[:, s, :m]
-            y *= back[:, s + 1 : s + 1 + m]
-            total = y.sum(axis=1)
-            y /= total[:, None]
-            back[:, s] = total
+            y = x[s, :m]
+            y *= back[s + 1 : s + 1 + m]
+            total = y.sum(axis=0)
+            y /= total
+            back[s] = total
             if s % 8 == 0:
-                back[:, s : s + top] /= total[:, None]
-        p = x.astype(np.float32).ravel()
+                back[s : s + top] /= total
+        p = x.transpose(2, 0, 1).astype(np.float32).ravel()
         flat = np.flatnonzero(p)
         p = p[flat]
         node, k = np.divmod(flat, top)
@@ -234,8 +269,10 @@ class Lattices:
         best = np.empty(u * length, np.int64)
         best[node[likeliest[::-1]]] = likeliest[::-1]  # of ties the shortest
         total = np.add.reduceat(p, first, dtype=np.float64)
-        self._append(self.NODES, self.nodes, {"first": first + self.arcs, "options": options, "best": best + self.arcs, "best_p": best_p, "total": total, "char": c.ravel()})
-        self._append(self.ARCS, self.arcs, {"arc_p": p, "arc_id": ids.ravel()[flat], "arc_len": k + 1})
+        # an arc to the end of its part has a negative length
+        size = np.where(node % length + k + 1 == length, -1 - k, k + 1)
+        self._append(self.NODES, self.nodes, {"first": first + self.arcs, "options": options, "best": best + self.arcs, "best_p": best_p, "share": best_p / total, "total": total, "char": c.reshape(length, u).T.ravel()})
+        self._append(self.ARCS, self.arcs, {"arc_p": p, "arc_id": ids.transpose(2, 0, 1).ravel()[flat], "arc_len": size})
         self.nodes += u * length
         self.arcs += len(p)
 
@@ -254,37 +291,68 @@ def _uniform(state, last) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def _other(lat: Lattices, row, x):
+    """The arcs, but for the likeliest, that numbers in [0, total) fall on, in order of length after the likeliest."""
+    top, at = lat.best[row], lat.first[row]
+    y, end, arc = x - lat.best_p[row], at + lat.options[row], lat.best[row]
+    todo = np.arange(len(row))
+    while len(todo):
+        q = np.flatnonzero(at != top)
+        arc[todo[q]] = at[q]  # the last one stands if rounding leaves a remainder
+        y[q] -= lat.arc_p[at[q]]
+        at += 1
+        q = np.flatnonzero((y >= 0) & (at < end))
+        todo, y, at, top, end = todo[q], y[q], at[q], top[q], end[q]
+    return arc
+
+
 def _walk(lat: Lattices, part, start, seed, place, sample):
-    """Draw pieces from ``start`` to the end of every part: (counts, nodes, arcs), parts in order, end to end."""
-    pos, active, steps = start.copy(), np.arange(len(part)), []
+    """Draw pieces from ``start`` to the end of every part: (counts, nodes, arcs), parts in order, end to end. The number of
+    a step is a hash of the row key, the sample, the part's place and the step's."""
     count = np.zeros(len(part), np.int64)
-    base, size, state = lat.base[part], lat.n[part], _state(seed, place, sample)
-    active = active[pos < size]
-    while len(active):
-        row = base[active] + pos[active]
-        x = _uniform(state[active], pos[active]) * lat.total[row]
+    base = lat.base[part]
+    active = np.flatnonzero(start < lat.n[part])
+    row, state = (base + start)[active], _state(seed, place, sample)[active]
+    steps, i = [], 0
+    while len(active) > FEW:
+        x = _uniform(state, i)
         arc = lat.best[row]
-        # the likeliest arc takes the first part of the unit interval, the others follow in order of length
-        other = np.flatnonzero(x >= lat.best_p[row])
+        # the likeliest arc takes the first part of the unit interval
+        other = np.flatnonzero(x >= lat.share[row])
         if len(other):
-            y, at, top = x[other] - lat.best_p[row[other]], lat.first[row[other]], arc[other]
-            end = at + lat.options[row[other]]
-            while len(other):
-                q = np.flatnonzero(at != top)
-                arc[other[q]] = at[q]  # the last one stands if rounding leaves a remainder
-                y[q] -= lat.arc_p[at[q]]
-                at += 1
-                q = np.flatnonzero((y >= 0) & (at < end))
-                other, y, at, top, end = other[q], y[q], at[q], top[q], end[q]
+            arc[other] = _other(lat, row[other], x[other] * lat.total[row[other]])
         steps.append((active, row, arc))
         count[active] += 1
-        pos[active] += lat.arc_len[arc]
-        active = active[pos[active] < size[active]]
+        size = lat.arc_len[arc]
+        left = np.flatnonzero(size > 0)
+        active, state, row = active[left], state[left], row[left] + size[left]
+        i += 1
+    rest = []
+    for q, (a, at) in enumerate(zip(active.tolist(), row.tolist(), strict=True)):  # few are left, of long parts: one by one
+        nodes, arcs, j, own = [], [], i, state[q : q + 1]
+        while at is not None:
+            for x in _uniform(own, np.arange(j, j + RUN)).tolist():
+                arc = lat.best[at]
+                if x >= lat.share[at]:
+                    arc = _other(lat, np.array([at]), np.array([x * lat.total[at]]))[0]
+                nodes.append(at)
+                arcs.append(arc)
+                n = int(lat.arc_len[arc])
+                if n < 0:
+                    at = None
+                    break
+                at += n
+            j += RUN
+        rest.append((a, count[a], nodes, arcs))
+        count[a] += len(nodes)
     first = np.cumsum(count) - count
     rows, arcs = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
     for i, (a, row, arc) in enumerate(steps):
         at = first[a] + i
         rows[at], arcs[at] = row, arc
+    for a, done, own, own_arcs in rest:
+        at = first[a] + done
+        rows[at : at + len(own)], arcs[at : at + len(own)] = own, own_arcs
     return count, rows, arcs
 
 
@@ -315,18 +383,21 @@ def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SA
     value, log inclusion score). Null and empty texts have one, without pieces. ``lat``: lattices of earlier calls."""
     out: list[list] = [[] for _ in texts]
     lat = lat or Lattices(table)
-    if lat.nodes > HELD:
-        lat.clear()
-    number = lat.known.__getitem__
-    flat = array("q")
-    bounds = [0]
-    for t in texts:
-        if t:
-            flat.extend(map(number, t.split(" ")))
-        bounds.append(len(flat))
-    part, bounds = np.array(flat, np.int64), np.array(bounds)
-    size = np.diff(bounds)
-    lat.grow()
+    lat.thin()
+    # the space before a text is the mark of its start; a part starts there and at every run of spaces
+    full = np.array([bool(t) for t in texts], bool)
+    code = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts if t)])
+    mark = code == 32
+    opens = mark.copy()
+    opens[1:] &= ~mark[:-1]
+    opens[begins[:-1]] = True
+    code = np.where(mark, 0x2581, np.where(code == 0x2581, LITERAL, code))
+    starts = np.flatnonzero(opens)
+    part = lat.number(code, starts, np.append(starts[1:], len(code))) if len(code) else np.empty(0, np.int64)
+    size = np.zeros(len(texts), np.int64)
+    size[full] = np.diff(np.searchsorted(starts, begins))
+    bounds = np.concatenate(([0], np.cumsum(size)))
     doc = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(part)) - bounds[doc]
     seed = np.array(seeds, np.int64).astype(np.uint64)
@@ -357,7 +428,7 @@ def sample(texts: list[str | None], seeds: list[int], table: Pieces, k: int = SA
             pick = opening + np.minimum((cum <= y[:, None]).sum(axis=1), choices - 1)
             at = np.array([found[d][x[2]]["unit"][x[3]] for d, x in zip(todo, regions, strict=True)])
             first += at
-            begin = row - lat.base[part[first]] + lat.arc_len[pick]
+            begin = row - lat.base[part[first]] + np.abs(lat.arc_len[pick])
         n = bounds[docs + 1] - first
         opens = np.concatenate(([0], np.cumsum(n)[:-1]))
         occ = np.arange(int(n.sum())) - np.repeat(opens, n) + np.repeat(first, n)
