@@ -41,9 +41,14 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g", ap
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one where none is named (tests)."""
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only in local mode, as in tests, a folder of this machine is made where none is named.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_brevira_shared", None)
         if base is None:
             base = spark._brevira_shared = "file://" + tempfile.mkdtemp(prefix="brevira-")
@@ -51,7 +56,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, tag: str = "stage") -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage and its plan."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back, which cuts its lineage and its plan; survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folders(spark).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def folders(spark: SparkSession) -> list[str]:
+    """Folders that ``staged`` has written in this session and that are still there."""
+    if not hasattr(spark, "_brevira_folders"):
+        spark._brevira_folders = []
+    return spark._brevira_folders
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of staged tables that no later plan reads; all of ``folders(spark)`` once every result is written."""
+    for path in list(paths):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path in folders(spark):
+            folders(spark).remove(path)
