@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,51 +13,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import remove, shared_dir, staged  # noqa: F401
+
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C55
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark, "_brevira_shared", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="brevira-")
-            spark._brevira_shared = base
-    return base.rstrip("/")
-
-
 def stash(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df, tag)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a stashed table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    remove(df.sparkSession, list({x.rsplit("/", 1)[0] for x in df.inputFiles()}))
+
+
+def free(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the tables is called so in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Above so many ids a row filter is a shuffled join; up to it the ids (8 to 24 bytes each) are broadcast.
+#: Up to so many rows a table of ids (8 to 24 bytes each) is broadcast; beyond, it is a shuffled join.
 BROADCAST_IDS = 500_000
 
 
 def bounded(df: DataFrame, n_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within the bound, else as it is."""
+    """``df``, of columns of fixed width, with a broadcast hint if its counted rows are within the bound, else as it is."""
     return F.broadcast(df) if n_rows <= BROADCAST_IDS else df
 
 
@@ -134,6 +122,14 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts make large rows: small Arrow batches bound what JVM and worker hold of them. A smaller setting of the
+    session stays; the setting is read when a plan runs, so it has to be the session's."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def add_columns(df: DataFrame, inputs: list[str], ddl: str, make, drop: list[str] | tuple = ()) -> DataFrame:
     """``df`` with the columns of ``ddl``, made in Python from whole Arrow batches; columns of the same name are replaced.
 
@@ -145,8 +141,7 @@ def add_columns(df: DataFrame, inputs: list[str], ddl: str, make, drop: list[str
     over = [c for c in df.columns if c not in new.names and c not in drop]
     types = [f.type for f in to_arrow_schema(new)]
 
-    # whole texts make large rows: small batches bound what JVM and worker hold of them
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    small_batches(df.sparkSession)
 
     def run(batches):
         f = make()

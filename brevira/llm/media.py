@@ -21,12 +21,13 @@ import zlib
 from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, shared_dir, stash
+from .common import SLICE, add_columns, shared_dir, small_batches, stash
 
 UNIT, HEADER = 64, 33
 #: A shard is closed beyond so many bytes; digests that a writing task remembers.
@@ -81,14 +82,17 @@ class _Writer:
     def __init__(self, folder: str):
         self.fs, self.folder = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.folder, recursive=True)
-        self.seen: OrderedDict[str, tuple[str, int, int]] = OrderedDict()
+        self.seen: OrderedDict[bytes, tuple[str, str, int, int]] = OrderedDict()
         self.out, self.at, self.shard, self.part = None, 0, "", 0
 
-    def put(self, image: bytes) -> tuple[str, str, int, int]:
+    def put(self, payload: bytes) -> tuple[str, str, int, int]:
+        """(digest, shard, offset, length) of a payload's image; known payloads are not made into images again."""
+        key = hashlib.sha256(payload).digest()
+        if key in self.seen:
+            self.seen.move_to_end(key)
+            return self.seen[key]
+        image = encode(payload)
         digest = hashlib.sha256(image).hexdigest()
-        if digest in self.seen:
-            self.seen.move_to_end(digest)
-            return digest, *self.seen[digest]
         if self.out is None or self.at > SHARD_BYTES:
             self.close()
             c = TaskContext.get()
@@ -97,13 +101,13 @@ class _Writer:
         info = tarfile.TarInfo(f"{digest}.png")
         info.size = len(image)
         self.out.write(info.tobuf(tarfile.USTAR_FORMAT))
-        place = (self.shard, self.at + 512, len(image))
+        place = (digest, self.shard, self.at + 512, len(image))
         self.out.write(image + bytes(-len(image) % 512))
         self.at += 512 + len(image) + -len(image) % 512
-        self.seen[digest] = place
+        self.seen[key] = place
         if len(self.seen) > REMEMBERED:
             self.seen.popitem(last=False)
-        return digest, *place
+        return place
 
     def close(self) -> None:
         if self.out is not None:
@@ -131,19 +135,21 @@ class _Reader:
 def stored(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, str]:
     """(index, folder): ``docs`` without the text, with n_bytes, digest, shard, offset and length.
 
-    Null texts are stored as empty ones; equal texts have equal digests; every row gets a place, repeated rows too.
+    Null texts are stored as empty ones; texts of any length are one image each; equal texts have equal digests; every row gets
+    a place, repeated rows too; an empty table gives no rows. Columns of ``docs`` that are called as the five new ones are not
+    returned; rename them before.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
 
-    def run(batches):
-        import pyarrow as pa
+    small_batches(spark)
 
+    def run(batches):
         w = _Writer(folder)
         try:
-            for b in batches:
+            for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
                 texts = b.column(text_col).to_pylist()
-                places = [w.put(encode(payload_of(t))) for t in texts]
+                places = [w.put(payload_of(t)) for t in texts]
                 new = [
                     pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                     pa.array([p[0] for p in places], pa.string()),

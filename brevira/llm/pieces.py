@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, mix, span_hashes
+from .common import add_columns, free, mix, span_hashes
 
 #: The public model; a parameter of the operators.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -542,22 +542,27 @@ def _sampler(model: str, k: int, check: bool = False):
     return run
 
 
-def _seeded(docs: DataFrame, key_col: str) -> DataFrame:
-    return docs.withColumn("_seed", F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
+def _seeded(docs: DataFrame, key_col: str) -> tuple[DataFrame, str]:
+    seed = free("_seed", docs)
+    return docs.withColumn(seed, F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("")))), seed
 
 
 def sampled(docs: DataFrame, k: int = SAMPLES, text_col: str = "text", key_col: str = "doc_id", model: str = MODEL) -> DataFrame:
     """``docs`` with ``samples``: for each row up to k distinct segmentations (ids as little-endian int32 bytes).
 
-    Null and empty texts have one segmentation without pieces; rows with equal keys and texts get equal samples.
+    Null and empty texts have one segmentation without pieces; rows with equal keys and texts get equal samples; null keys
+    count as empty ones; an empty table gives no rows. A column called ``samples`` is replaced, others pass through. A text without
+    spaces is one lattice, held whole by its task (about 60 bytes a character while it is worked on, and its arcs).
     """
-    return add_columns(_seeded(docs, key_col), [text_col, "_seed"], SAMPLE_DDL, lambda: _sampler(model, k), drop=["_seed"])
+    src, seed = _seeded(docs, key_col)
+    return add_columns(src, [text_col, seed], SAMPLE_DDL, lambda: _sampler(model, k), drop=[seed])
 
 
 def round_trip(docs: DataFrame, k: int = SAMPLES, text_col: str = "text", key_col: str = "doc_id", model: str = MODEL, drop: list[str] | None = None) -> DataFrame:
     """``docs`` with ``samples`` as by ``sampled`` and ``decoded``: whether every sample's ids decode to the whole text (null: the
     empty one). Both in one pass, so that texts and ids go to Python once. Columns in ``drop`` are left out."""
-    return add_columns(_seeded(docs, key_col), [text_col, "_seed"], SAMPLE_DDL + ", decoded boolean", lambda: _sampler(model, k, check=True), drop=["_seed", *(drop or ())])
+    src, seed = _seeded(docs, key_col)
+    return add_columns(src, [text_col, seed], SAMPLE_DDL + ", decoded boolean", lambda: _sampler(model, k, check=True), drop=[seed, *(drop or ())])
 
 
 def decoded(df: DataFrame, samples_col: str = "samples", model: str = MODEL) -> DataFrame:
