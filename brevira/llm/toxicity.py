@@ -1,12 +1,13 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A text is cut into windows of ``WINDOW`` words, half overlapping. A window is the mean of the embeddings of all
-character 3- to 5-grams of its words (with word edges), hashed into ``2**BITS`` rows; a linear softmax over that mean
-gives its score, and a text scores as its highest window, so a slur in a long text is not averaged away.
-Embeddings and softmax are learned together by Adagrad: at first every window carries its document's label, then in
-each round a toxic document is represented by its highest window and a clean one by its highest and some others.
-A misspelling shares most of its n-grams with the word meant. A final logistic fit turns the highest window
-score into a probability.
+A text is cut into windows of ``WINDOW`` words, one from each word on. A window is the mean of the embeddings of its words
+and of all their character 3- to 6-grams (with word edges), hashed into ``2**BITS`` rows; a linear softmax over that mean
+gives its score. The evidence of a text is its highest window, so that a slur in a long text is not averaged away, and the mean of its
+highest few, as one word alone may be chance.
+Embeddings and softmax are learned together by Adagrad: n-grams that few documents of the sample hold are left out, the
+others start from the log-odds of the documents that hold them, and in each round a toxic document is represented by its highest
+window and a clean one by its highest and some others. A misspelling shares most of its n-grams with the word meant.
+A final logistic fit, in which the rarer class weighs more, turns the evidence into a probability.
 """
 
 from __future__ import annotations
@@ -18,48 +19,53 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, release
+from .common import add_columns, release, span_hashes
 
-BITS, DIM, WINDOW, ORDERS = 18, 8, 12, (3, 4, 5)
+BITS, DIM, WINDOW, ORDERS = 18, 8, 3, (3, 4, 5, 6)
+#: Documents of the sample that an n-gram needs to be learned, smoothing of their log-odds, and the learning rate.
+LEAST_DOCS, SMOOTH, RATE = 6, 0.5, 0.3
+#: Share of a text's windows whose mean is evidence beside the highest, and the ridge of the last fit.
+TOP_SHARE, RIDGE = 0.05, 1e-3
 #: Bound of the training sample: labelled rows by class, in the order of a hash of their ids, and the largest text that
 #: is learned from (all texts are scored, whole).
 MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 2500, 3500, 32768
 
+_SHIFT = np.uint64(64 - BITS)
 _MULT = np.random.default_rng(7).integers(1 << 20, 1 << 62, max(ORDERS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram rows in order, start of each word in them, its end) of a lower-cased text."""
+def grams_of(text: str | None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of a lower-cased text: the edge before and after each word, and for each kind of n-gram (places, rows); an n-gram's place
+    is its start, a whole word's the edge before it."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     is_word = ((c - np.uint32(97)) < 26) | ((c - np.uint32(48)) < 10) | ((c >= 0xC0) & ((c < 0x2000) | (c > 0x206F)) & ((c < 0x3000) | (c > 0x303F)))
     keep = is_word | np.concatenate(([True], is_word[:-1])) if len(c) else is_word
     x = np.where(is_word, c, 1)[keep].astype(np.uint64)
     x = np.concatenate((np.ones(1, np.uint64), x, np.ones(1, np.uint64)))
     edge = x == 1
-    n = len(x)
-    rows, at = [], []
-    for order in ORDERS:
-        m = n - order + 1
-        if m <= 0:
-            continue
-        h = np.full(m, order, np.uint64)
-        inner = np.zeros(m, bool)
-        for j in range(order):
-            h += x[j : j + m] * _MULT[j]
-            if 0 < j < order - 1:
-                inner |= edge[j : j + m]
-        ok = np.flatnonzero(~inner)
-        h = h[ok]
-        rows.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS))
-        at.append(ok)
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    at, rows = np.concatenate(at), np.concatenate(rows)
+    first, last = np.flatnonzero(edge[:-1] & ~edge[1:]), np.flatnonzero(~edge[:-1] & edge[1:]) + 1
+    out = [(first, (span_hashes(x, first + 1, last) >> _SHIFT).astype(np.int64))]
+    at, h = np.arange(max(0, len(x) - 1)), x[:-1] * _MULT[0]
+    for order in range(2, max(ORDERS) + 1):
+        m = np.searchsorted(at, len(x) - order + 1)
+        at, h = at[:m], h[:m] + x[at[:m] + order - 1] * _MULT[order - 1]
+        if order in ORDERS:
+            g = h + np.uint64(order)
+            out.append((at, (((g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> _SHIFT).astype(np.int64)))
+        # an n-gram goes on unless it has come to the edge after its word
+        more = np.flatnonzero(~edge[at + order - 1])
+        at, h = at[more], h[more]
+    return first, last, out
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram rows in order, start of each word in them, its end) of a text."""
+    first, _, found = grams_of(text)
+    at, rows = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(at, kind="stable")
-    at, rows = at[order], rows[order].astype(np.int64)
-    first = np.flatnonzero(edge[:-1] & ~edge[1:])  # the edge before each word
+    at, rows = at[order], rows[order]
     starts = np.searchsorted(at, first)
-    return rows, starts, np.append(starts[1:], len(rows))
+    return rows, starts, np.append(starts[1:], len(rows))[: len(starts)]
 
 
 def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +73,7 @@ def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(starts)
     if not n:
         return starts, ends
-    first = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
+    first = np.arange(max(1, n - WINDOW + 1))
     return starts[first], ends[np.minimum(first + WINDOW, n) - 1]
 
 
@@ -75,46 +81,87 @@ def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Model:
     table: np.ndarray  # of each n-gram row: its embedding's part of the logit
     bias: float
-    slope: float
+    slopes: tuple[float, float]
     shift: float
-    none: float = 0.0  # the highest window score that a text without words is given: a quiet clean text's
+    none: tuple[float, float] = (0.0, 0.0)  # evidence that a text without words is given: a quiet clean text's
 
-    def top(self, text: str | None) -> float:
-        rows, s, e = features(text)
-        a, b = windows(s, e)
-        if not len(a):
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """The highest window score and the mean of the highest ones."""
+        first, last, found = grams_of(text)
+        if not len(first):
             return self.none
-        total = np.concatenate(([0.0], np.cumsum(self.table[rows], dtype=np.float64)))
-        return float(((total[b] - total[a]) / np.maximum(b - a, 1)).max() + self.bias)
+        total, count = np.zeros(int(last[-1]) + 1), np.zeros(int(last[-1]) + 1, np.int64)
+        for at, rows in found:  # sums up to each place
+            total[at + 1] += self.table[rows]
+            count[at + 1] += 1
+        total, count = np.cumsum(total), np.cumsum(count)
+        a, b = windows(first, last)
+        return highest((total[b] - total[a]) / np.maximum(count[b] - count[a], 1) + self.bias)
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.top(text) + self.shift
+        x = self.evidence(text)
+        z = self.slopes[0] * x[0] + self.slopes[1] * x[1] + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: int = 4) -> Model:
+def highest(z: np.ndarray) -> tuple[float, float]:
+    """The highest of a text's window scores, and the mean of its highest share (of three at least, or all)."""
+    n = min(len(z), max(3, int(len(z) * TOP_SHARE)))
+    return float(z.max()), float(np.partition(z, len(z) - n)[len(z) - n :].mean())
+
+
+def logistic(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a regularised logistic fit, in which the rarer class weighs more, by the root of the ratio."""
+    share = np.clip(t.mean(), 1e-6, 1 - 1e-6)
+    weight = np.where(t == 1, np.sqrt((1 - share) / share), 1.0)
+    weight = (weight / weight.sum())[:, None]
+    mid, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    u = np.concatenate(((x - mid) / spread, np.ones((len(x), 1))), axis=1)
+    w, ridge = np.zeros(u.shape[1]), np.append(np.full(x.shape[1], RIDGE), 1e-6)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(u @ w, -40, 40)))
+        h = (u * weight * (p * (1 - p) + 1e-9)[:, None]).T @ u + np.diag(ridge)
+        d = np.linalg.solve(h, (u * weight).T @ (p - t) + ridge * w)
+        w -= np.clip(d, -2, 2)
+        if np.abs(d).sum() < 1e-9:
+            break
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * mid / spread).sum())
+
+
+def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: int = 8) -> Model:
     """Joint training; deterministic. No rows, or rows of one class only, give a constant score."""
     y = np.asarray(labels, np.int64)
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(set(labels)) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(prior / (1 - prior))))
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, (0.0, 0.0), float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
-    # the n-gram rows of a text are held once; its windows, half overlapping, are places in them
+    # the n-gram rows of a text are held once; its windows, one for each word, are places in them
     held, spans, owner = [], [], []
+    of = np.zeros((2, 1 << BITS), np.int32)  # documents of each class by n-gram row
     for i, t in enumerate(texts):
         rows, s, e = features(t)
         held.append(rows.astype(np.int32))
+        of[y[i], np.unique(rows)] += 1
         a, b = windows(s, e)
-        spans.append(np.stack((a, b), axis=1)[b > a])
-        owner.append(np.full(len(spans[-1]), i))
+        spans.append(np.stack((a, b), axis=1)[b > a].astype(np.int32))
+        owner.append(np.full(len(spans[-1]), i, np.int32))
     spans, owner = np.concatenate(spans), np.concatenate(owner)
+    cuts = np.searchsorted(owner, np.arange(len(held) + 1))  # windows of each text
+    n_of = np.bincount(y, minlength=2)
 
     def bag(i: int) -> np.ndarray:
         return held[owner[i]][spans[i, 0] : spans[i, 1]]
 
+    # rows of few documents say nothing; the others start from the log-odds of their documents
+    learned = of.sum(axis=0) >= LEAST_DOCS
+    odds = np.log((of[1] + SMOOTH) / (n_of[1] + 2 * SMOOTH)) - np.log((of[0] + SMOOTH) / (n_of[0] + 2 * SMOOTH))
+    del of
     emb = (rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM
-    out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    seen_e, seen_o, seen_b = np.full(1 << BITS, 1e-4, np.float32), np.full((DIM, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)
+    emb[:, 0] = odds
+    emb[~learned] = 0
+    out, bias = (rng.random((DIM, 2), np.float32) - 0.5) / 2, np.zeros(2, np.float32)
+    out[0] = -0.5, 0.5
+    seen_e, seen_o, seen_b = np.full(1 << BITS, 1e-2, np.float32), np.full((DIM, 2), 1e-2, np.float32), np.full(2, 1e-2, np.float32)
 
     def step(pick: np.ndarray, rate: float) -> None:
         nonlocal out, bias, seen_o, seen_b
@@ -137,11 +184,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: in
         order = np.argsort(ids, kind="stable")
         u, first = np.unique(ids[order], return_index=True)
         g = np.add.reduceat(np.repeat(back, size, axis=0)[order], first, axis=0)
+        u, g = u[learned[u]], g[learned[u]]
         seen_e[u] += (g * g).mean(axis=1)
         emb[u] -= rate * g / np.sqrt(seen_e[u])[:, None]
 
-    out[:] = (rng.random((DIM, 2), np.float32) - 0.5) / 2
-
     def epoch(pick: np.ndarray, rate: float) -> None:
         for part in np.array_split(rng.permutation(pick), max(1, len(pick) // 256)):
             if len(part):
@@ -149,41 +195,28 @@ def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: in
 
     def logits() -> tuple[np.ndarray, np.ndarray]:
         t = emb @ (out[:, 1] - out[:, 0])
-        return t, np.array([t[bag(i)].mean() for i in range(len(owner))]) + bias[1] - bias[0]
-
-    # a toxic document's windows mostly are clean: all windows of a few per document, classes in balance
-    order = rng.permutation(len(owner))
-    rank = pd.Series(order).groupby(owner[order]).cumcount().to_numpy()
-    few = order[rank < 16]
-    pos, neg = few[y[owner[few]] == 1], few[y[owner[few]] == 0]
-    n = min(len(pos), len(neg))
-    for _ in range(2):
-        epoch(np.concatenate((rng.permutation(pos)[:n], rng.permutation(neg)[:n])), 0.3)
-    for _ in range(rounds * max(1, min(4, 6000 // len(y)))):  # few rows are gone over more often
+        z = np.empty(len(owner))
+        for rows, at, to in zip(held, cuts[:-1], cuts[1:], strict=True):
+            total = np.concatenate(([0.0], np.cumsum(t[rows], dtype=np.float64)))
+            a, b = spans[at:to, 0], spans[at:to, 1]
+            z[at:to] = (total[b] - total[a]) / (b - a)
+        return t, z + bias[1] - bias[0]
+
+    # a toxic document's windows mostly are clean: it is represented by its highest one
+    for _ in range(rounds):
         z = logits()[1]
         by = np.lexsort((-z, owner))
         place = pd.Series(by).groupby(owner[by]).cumcount().to_numpy()
         toxic = y[owner[by]] == 1
         top = by[toxic & (place < 1)]
         hard = by[~toxic & (place < 2)]
-        epoch(np.concatenate((top, top, hard, rng.permutation(by[~toxic])[: len(hard)])), 0.3)
+        epoch(np.concatenate((top, top, hard, rng.permutation(by[~toxic])[: len(hard)])), RATE)
     table, z = logits()
-    best = pd.Series(z).groupby(owner).max()
-    x, t = best.to_numpy(), y[best.index.to_numpy()].astype(float)
-    weight = np.full(len(t), 1 / len(t))
-    mid, spread = float(np.median(x)), float(x.std() or 1.0)
-    a, c = 1.0, 0.0
-    u = (x - mid) / spread
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(a * u + c, -40, 40)))
-        d = weight * (p - t)
-        w = weight * p * (1 - p) + 1e-9
-        h = np.array([[(w * u * u).sum() + 1e-3, (w * u).sum()], [(w * u).sum(), w.sum() + 1e-6]])
-        da, dc = np.linalg.solve(h, [(d * u).sum() + 1e-3 * a, d.sum()])
-        a, c = a - np.clip(da, -1, 1), c - np.clip(dc, -1, 1)
-        if abs(da) + abs(dc) < 1e-9:
-            break
-    return Model(table.astype(np.float32), float(bias[1] - bias[0]), float(a / spread), float(c - a * mid / spread), float(np.quantile(x[t == 0], 0.05)) if (t == 0).any() else 0.0)
+    ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
+    x, t = np.array([highest(w) for w in np.split(z, ends[:-1])]), y[owner[ends - 1]].astype(float)
+    slopes, shift = logistic(x, t)
+    quiet = np.quantile(x[t == 0], 0.05, axis=0) if (t == 0).any() else (0.0, 0.0)
+    return Model(table.astype(np.float32), float(bias[1] - bias[0]), tuple(map(float, slopes)), shift, tuple(map(float, quiet)))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -193,18 +226,18 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_TRAIN_BYTES) -> list[tuple[str, int]]:
     """A bounded sample of labelled rows outside the held-out fifth: (text, label), in the order of a hash of the ids.
 
-    A document labelled twice is toxic if one label says so; null labels and null ids count as unlabelled.
+    A document labelled twice is toxic if one label says so; null labels and null ids count as unlabelled. Of several texts of
+    one id within the bound the one of the least hash is learned from. Other columns of both tables are ignored.
     """
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
-    sized = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("n")).where(F.col("n").between(1, max_bytes)).drop("n").distinct()
-    y = y.join(sized, "doc_id", "left_semi").withColumn("o", F.xxhash64("doc_id"))
+    own = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes))
+    y = y.join(own.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("o", F.xxhash64("doc_id"))
     ids = [r for toxic, n in ((1, max_toxic), (0, max_clean)) for r in y.where(F.col("toxic") == toxic).orderBy("o", "doc_id").limit(n).select("doc_id", "toxic").collect()]
     if not ids:
         return []
     picked = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
-    rows = docs.where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted({(r.doc_id, r.text, r.toxic) for r in rows})[: 2 * (max_toxic + max_clean)]
-    return [(t, y) for _, t, y in rows]
+    rows = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
+    return [(t, y) for _, t, y in sorted((r.doc_id, r.text, r.toxic) for r in rows)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
