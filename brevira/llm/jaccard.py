@@ -25,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, bounded, grams, mix, release, stash, word_hashes
+from .common import add_columns, bounded, free, grams, mix, release, stash, word_hashes
 from .components import components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
 BANDS, ROWS, STEP = 32, 5, 32
 #: Nodes that one task compares with each other: in a bucket (signatures), in a component (shingle sets).
 BUCKET_BLOCK, BLOCK = 4096, 256
+#: Shingles of the texts of one block, about (8 bytes each); a text alone may have more.
+BLOCK_SHINGLES = 2_000_000
 #: Columns of the 0/1 matrices that are held at a time.
 WIDTH = 8192
 
@@ -135,7 +137,7 @@ def _forest(sig: np.ndarray, side: np.ndarray | None, keep: dict[int, int]) -> l
 
 def _candidates(batches, keep):
     nodes_a, nodes_b = [], []
-    for g in _runs(batches, ["bkey", "pair"]):
+    for g in _runs(batches, ["bkey", *PAIR]):
         if len(g) < 2:
             continue
         node, sig = g["node"].tolist(), np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
@@ -169,11 +171,11 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(batches, k: int, threshold: float):
+def _verify(batches, threshold: float):
     """Rows (node, links, u, v): link counts of a node within one pair of blocks, or a tree edge of verified links."""
-    for g in _runs(batches, ["comp", "pair"]):
+    for g in _runs(batches, ["comp", *PAIR]):
         node, weight, own = g["node"].tolist(), g["n_texts"].to_numpy(np.int64), g["own"].to_numpy()
-        sets = [shingles(t, k)[1] for t in g["text"]]
+        sets = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
         size = np.array([len(s) for s in sets], np.float64)
         both = _overlaps(sets)
         link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
@@ -197,14 +199,17 @@ def _verify(batches, k: int, threshold: float):
     release()
 
 
-def _dealt(df: DataFrame, group: list[str], size_col: str, block: int) -> DataFrame:
-    """Rows dealt to the pairs of blocks of their group: ``pair`` names the pair, ``own`` the row's block."""
-    n = F.ceil(F.col(size_col) / F.lit(block)).cast("int")
-    df = df.withColumn("_n", n).withColumn("own", F.when(F.col("_n") > 1, F.pmod(F.xxhash64("node"), F.col("_n"))).otherwise(0).cast("int"))
-    return df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("pair", F.least("own", "_o") * 1_000_000 + F.greatest("own", "_o")).drop("_n", "_o")
+def _dealt(df: DataFrame, blocks: F.Column) -> DataFrame:
+    """Rows dealt to the pairs of the ``blocks`` of their group: ``pair_a`` and ``pair_b`` name the pair, ``own`` the row's block."""
+    df = df.withColumn("_n", blocks.cast("long")).withColumn("own", F.when(F.col("_n") > 1, F.pmod(F.xxhash64("node"), F.col("_n"))).otherwise(F.lit(0).cast("long")))
+    df = df.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    return df.withColumn("pair_a", F.least("own", "_o")).withColumn("pair_b", F.greatest("own", "_o")).drop("_n", "_o")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bucket_block: int = BUCKET_BLOCK, block: int = BLOCK) -> DataFrame:
+PAIR = ["pair_a", "pair_b"]
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bucket_block: int = BUCKET_BLOCK, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, thash (64-bit hash of its text), class_id (least doc_id of all that verified
     links and copies tie together), copy_id (least doc_id with the same words), n_copies (rows with the same
     words), n_links (other texts of similarity at least ``threshold``, each distinct text once), first_of_class (this is
@@ -218,33 +223,36 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     made = add_columns(src, ["text"], "node binary, size long, sig binary, bands array<long>", lambda: _sketch(k))
     sketched = stash(spark, made.drop("text"), "sketch")
     worded = sketched.where("size > 0")
-    texts = worded.groupBy("node", "thash").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"), F.max(F.col("doc_id").isNull()).alias("o"))
-    nodes = stash(spark, texts.groupBy("node").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_copies"), F.min_by(F.struct("d", "thash", "o"), F.struct(~F.col("o"), "d", "thash")).alias("rep")), "nodes")
-    reps = nodes.select("node", F.when(F.col("rep.o"), None).otherwise(F.col("rep.d")).alias("rep_id"), F.col("rep.thash").alias("rep_hash"), "n_texts", "n_copies")
+    texts = worded.groupBy("node", "thash").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"), F.max(F.col("doc_id").isNull()).alias("o"), F.max("size").alias("size"))
+    nodes = stash(spark, texts.groupBy("node").agg(F.count("*").alias("n_texts"), F.max("size").alias("n_shingles"), F.sum("n").alias("n_copies"), F.min_by(F.struct("d", "thash", "o"), F.struct(~F.col("o"), "d", "thash")).alias("rep")), "nodes")
+    reps = nodes.select("node", F.when(F.col("rep.o"), None).otherwise(F.col("rep.d")).alias("rep_id"), F.col("rep.thash").alias("rep_hash"), "n_texts", "n_copies", "n_shingles")
 
     # candidates: band keys met by several nodes
     bands = worded.select("node", F.explode("bands").alias("bkey")).distinct()
     crowded = bands.groupBy("bkey").agg(F.count("*").alias("n")).where("n > 1")
     met = bands.join(crowded, "bkey")
     sigs = worded.select("node", "sig").dropDuplicates(["node"])
-    dealt = _dealt(met, ["bkey"], "n", bucket_block).join(sigs, "node").select("bkey", "pair", "own", "node", "sig")
+    dealt = _dealt(met, F.ceil(F.col("n") / F.lit(bucket_block))).join(sigs, "node").select("bkey", *PAIR, "own", "node", "sig")
     keep = least_matches(threshold, tolerance)
-    near = dealt.repartition("bkey", "pair").sortWithinPartitions("bkey", "pair").mapInPandas(lambda it: _candidates(it, keep), "u binary, v binary")
+    near = dealt.repartition("bkey", *PAIR).sortWithinPartitions("bkey", *PAIR).mapInPandas(lambda it: _candidates(it, keep), "u binary, v binary")
     tied = stash(spark, components(spark, near), "tied")
 
     # exact verification inside each component
     n_tied = tied.count()
-    sizes = tied.groupBy("comp").agg(F.count("*").alias("m"))
-    plan = tied.join(sizes, "comp").join(reps.select("node", "rep_id", "rep_hash", "n_texts"), "node")
+    about = tied.join(reps.select("node", "rep_id", "rep_hash", "n_texts", "n_shingles"), "node")
+    # a component's blocks hold about so many nodes and shingles at most, so that long texts don't meet in great numbers
+    sizes = about.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n_shingles") / F.lit(block_shingles))).alias("blocks"))
+    plan = about.drop("n_shingles").join(sizes, "comp")
     plan = bounded(stash(spark, plan, "plan"), n_tied)
-    text = src.join(plan, src["doc_id"].eqNullSafe(plan["rep_id"]) & (src["thash"] == plan["rep_hash"])).select("comp", "node", "n_texts", "m", "text")
-    grouped = _dealt(text, ["comp"], "m", block).repartition("comp", "pair").sortWithinPartitions("comp", "pair", "node")
+    text = src.join(plan, src["doc_id"].eqNullSafe(plan["rep_id"]) & (src["thash"] == plan["rep_hash"])).select("comp", "node", "n_texts", "blocks", "text")
+    made = add_columns(text, ["text"], "shingles binary", lambda: lambda texts: ([shingles(t, k)[1].tobytes() for t in texts],), drop=["text"])
+    grouped = _dealt(made, F.col("blocks")).repartition("comp", *PAIR).sortWithinPartitions("comp", *PAIR, "node")
 
     def verify(batches):
-        once = (x[~x.duplicated(["comp", "pair", "node"])] if len(x) else x for x in _adjacent(batches))
-        return _verify(once, k, threshold)
+        once = (x[~x.duplicated(["comp", *PAIR, "node"])] if len(x) else x for x in _adjacent(batches))
+        return _verify(once, threshold)
 
-    verified = stash(spark, grouped.select("comp", "pair", "own", "node", "n_texts", "text").mapInPandas(verify, "node binary, links long, u binary, v binary"), "verified")
+    verified = stash(spark, grouped.select("comp", *PAIR, "own", "node", "n_texts", "shingles").mapInPandas(verify, "node binary, links long, u binary, v binary"), "verified")
     links = verified.where("links > 0").groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = components(spark, verified.where("u is not null").select("u", "v"))
     named = reps.join(classes, "node", "left").join(links, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -271,7 +279,7 @@ def _adjacent(batches):
         if not len(pdf):
             continue
         last = pdf.iloc[-1]
-        same = (pdf["comp"] == last["comp"]) & (pdf["pair"] == last["pair"]) & (pdf["node"] == last["node"])
+        same = (pdf["comp"] == last["comp"]) & (pdf["pair_a"] == last["pair_a"]) & (pdf["pair_b"] == last["pair_b"]) & (pdf["node"] == last["node"])
         held = pdf[same].iloc[:1]
         yield pdf[~same]
     if held is not None:
@@ -281,16 +289,16 @@ def _adjacent(batches):
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and others) without the documents that stand behind another of their class.
 
-    Of equal rows with equal doc_ids one is kept.
+    Of equal rows with equal doc_ids one is kept. Other columns pass through, whatever their names.
     """
     spark = docs.sparkSession
     found = stash(spark, found.select("doc_id", "thash", "first_of_class"), "found")
     gone = found.where("not first_of_class").distinct()
     n = gone.count()
-    gone = bounded(gone.select(F.col("doc_id").alias("_d"), F.col("thash").alias("_h")), n)
-    src = docs.withColumn("_t", F.xxhash64("text"))
-    out = src.join(gone, src["doc_id"].eqNullSafe(F.col("_d")) & (src["_t"] == F.col("_h")), "left_anti")
+    own_id, own_hash, row_hash = (free(x, docs) for x in ("_doc_id", "_thash", "_row_hash"))
+    gone = bounded(gone.select(F.col("doc_id").alias(own_id), F.col("thash").alias(own_hash)), n)
+    src = docs.withColumn(row_hash, F.xxhash64("text"))
+    out = src.join(gone, src["doc_id"].eqNullSafe(F.col(own_id)) & (src[row_hash] == F.col(own_hash)), "left_anti")
     if found.where("first_of_class").groupBy("doc_id", "thash").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_t"])
-    return out.drop("_t")
-
+        out = out.dropDuplicates(["doc_id", row_hash])
+    return out.drop(row_hash)
