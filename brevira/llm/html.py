@@ -17,11 +17,13 @@ import hashlib
 import html as entities
 import itertools
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, bounded, stash
+from .common import add_columns, bounded, free, mix, span_hashes, stash
 from .urls import split_url
 
 #: An element is a template if it recurs on so many pages of its host, and on that share of them.
@@ -30,7 +32,8 @@ MIN_PAGES, MIN_SHARE = 4, 0.05
 #: most so many characters and that share of the text around it.
 MIN_ARTICLES, ARTICLE_SHARE, MOST_CHARS, MOST_PART = 4, 0.5, 1000, 0.5
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
+#: A tag holds no "<" but in quotes, so that unclosed tags are not read over and over.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 CUT_OFF = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 
@@ -71,8 +74,11 @@ def named(value: str) -> set[str]:
     return out
 
 
-def _hash(host: str, source: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{host}\0{source}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
 class Page:
@@ -82,7 +88,7 @@ class Page:
     in such an element waits: it counts only where the page has no other root.
     """
 
-    __slots__ = ("ends", "html", "inside", "junk", "marks", "parents", "roots", "starts", "tags", "texts", "waiting")
+    __slots__ = ("ends", "html", "inside", "junk", "marks", "open_", "parents", "roots", "starts", "tags", "texts", "waiting")
 
     def __init__(self, html: str | None):
         self.html = html = html or ""
@@ -92,11 +98,13 @@ class Page:
         self.waiting: list[int] = []
         self.texts: list[tuple[int, str | None, str]] = []  # (element, text or None for an edge, tag of the edge)
         stack, at = [0], 0
-        size = len(html)
+        size, last = len(html), html.rfind(">")
+        self.open_: Counter = Counter()
         while at < size:
-            m = TOKEN.search(html, at)
+            m = TOKEN.search(html, at) if at <= last else None
             if m is None:
-                self._text(stack[-1], CUT_OFF.sub("", html[at:]))
+                rest = html[at:]
+                self._text(stack[-1], CUT_OFF.sub("", rest[: rest.find("<!--")] if "<!--" in rest else rest))
                 break
             if m.start() > at:
                 self._text(stack[-1], html[at : m.start()])
@@ -108,7 +116,7 @@ class Page:
                 self._close(stack, tag, m.start(), at)
                 continue
             closing = CLOSES.get(tag)
-            if closing:
+            if closing and any(self.open_[t] for t in closing):
                 for i in range(len(stack) - 1, 0, -1):
                     own = self.tags[stack[i]]
                     if own in closing:
@@ -168,6 +176,7 @@ class Page:
         if root:
             (self.waiting if wait else self.roots).append(node)
         stack.append(node)
+        self.open_[tag] += 1
         if tag not in INLINE:
             self.texts.append((node, None, tag))
         return node
@@ -175,11 +184,14 @@ class Page:
     def _pop(self, stack: list[int], i: int, start: int, end: int) -> None:
         for j in range(len(stack) - 1, i - 1, -1):
             node = stack.pop()
+            self.open_[self.tags[node]] -= 1
             self.ends[node] = end if j == i else start
             if self.tags[node] not in INLINE:
                 self.texts.append((self.parents[node], None, self.tags[node]))
 
     def _close(self, stack: list[int], tag: str, start: int, end: int) -> None:
+        if not self.open_[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             own = self.tags[stack[i]]
             if own == tag:
@@ -195,15 +207,24 @@ class Page:
             while r > 0:
                 around.add(r)
                 r = self.parents[r]
-        out = {}
-        for i in range(1, len(self.tags)):
-            if i in around or (self.inside[i] and self.roots) or self.tags[i] in ("html", "body", "head"):
-                continue
-            out[i] = _hash(host, self._source(i))
-        return out
-
-    def _source(self, i: int) -> str:
-        return " ".join(self.html[self.starts[i] : self.ends[i]].split())
+        own = [i for i in range(1, len(self.tags)) if not (i in around or (self.inside[i] and self.roots) or self.tags[i] in ("html", "body", "head"))]
+        return dict(zip(own, self._hashes(own, host), strict=True))
+
+    def _hashes(self, own: list[int], host: str) -> list[int]:
+        """Hashes of a host and of elements' sources with white-space runs as one space, from sums over the whole page."""
+        if not own:
+            return []
+        code = np.frombuffer(self.html.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = np.isin(code, _SPACES)
+        kept = ~space
+        kept[1:] |= space[1:] & ~space[:-1]  # the first of each run
+        at = np.concatenate(([0], np.cumsum(kept)))
+        # an element ends behind its last character that is not white space
+        last = np.maximum.accumulate(np.where(space, -1, np.arange(len(code))))
+        starts = np.array([self.starts[i] for i in own])
+        ends = np.maximum(last[np.maximum(np.array([self.ends[i] for i in own]), starts + 1) - 1] + 1, starts)
+        h = span_hashes(np.where(space, 32, code)[kept], at[starts], at[ends])
+        return mix(h ^ np.uint64(_hash(host) & (1 << 64) - 1)).view(np.int64).tolist()
 
     def blocks(self, host: str) -> tuple[int | None, dict[int, tuple[int, int]]]:
         """The article's hash (None without one), and for each of its elements that may be a template the element's hash and that
@@ -240,11 +261,10 @@ class Page:
                 within[i : last[i] + 1] = [True] * (last[i] + 1 - i)
         runs.sort(key=lambda x: -len(x[1]))
         main = next((b for n, b in runs if not within[n]), None)
-        whole = _hash("", main if main is not None else runs[0][1] if runs else "")
+        whole = _hash(main if main is not None else runs[0][1] if runs else "")
         out = {}
-        for i in may:
-            article = whole if main is not None else _hash("", next(b for n, b in runs if not i <= n <= last[i]))
-            out[i] = (_hash(f"{host}\0article", self._source(i)), article)
+        for i, h in zip(may, self._hashes(may, f"{host}\0article"), strict=True):
+            out[i] = (h, whole if main is not None else _hash(next(b for n, b in runs if not i <= n <= last[i])))
         return whole, out
 
     def dead(self, host: str, bad: set[int]) -> set[int]:
@@ -270,7 +290,7 @@ class Page:
 
 
 def _keyed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    return pages.withColumn("_key", F.xxhash64(url_col, html_col))
+    return pages.withColumn(free("_key", pages), F.xxhash64(url_col, html_col))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -294,22 +314,26 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     total = own.groupBy("_host").agg(F.count("*").alias("_pages"))
     each = own.select("_key", "_host", F.explode("_hashes").alias("_h"))
     often = each.groupBy("_host", "_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
-    often = often.join(total, "_host").where(F.col("_n") >= F.col("_pages") * F.lit(min_share)).select("_host", "_h")
+    often = often.join(total, "_host").where(F.col("_n") >= F.col("_pages") * F.lit(min_share)).select("_h")
     if not own.where("size(_blocks) > 0").isEmpty():
         inner = own.select("_key", "_host", F.explode("_blocks").alias("_b")).select("_key", "_host", F.col("_b.h").alias("_h"), F.col("_b.article").alias("_a"))
         articles = own.where("_article is not null").groupBy("_host").agg(F.countDistinct("_article").alias("_articles"))
         within = inner.groupBy("_host", "_h").agg(F.countDistinct("_a").alias("_n")).where(F.col("_n") >= MIN_ARTICLES)
-        within = within.join(articles, "_host").where(F.col("_n") >= F.col("_articles") * F.lit(ARTICLE_SHARE)).select("_host", "_h")
+        within = within.join(articles, "_host").where(F.col("_n") >= F.col("_articles") * F.lit(ARTICLE_SHARE)).select("_h")
         each, often = each.unionByName(inner.drop("_a")), often.unionByName(within)
-    # a key stands for equal pages
-    return each.distinct().join(often, ["_host", "_h"]).groupBy("_key").agg(F.collect_set("_h").alias("_gone"))
+    # a hash holds the host, and a key stands for equal pages; a template of a third of all pages is one row of a broadcast table
+    often = stash(pages.sparkSession, often.distinct(), "often")
+    return each.select("_key", "_h").join(bounded(often, often.count()), "_h").groupBy("_key").agg(F.collect_set("_h").alias("_gone"))
 
 
 def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` with their main text ("" where there is none; null html is empty). Every row is kept, repeated ones too;
     a null url is a page of the host ""."""
     found = stash(pages.sparkSession, templates(pages, url_col, html_col, min_pages, min_share), "templates")
-    joined = _keyed(pages, url_col, html_col).join(bounded(found, found.count()), "_key", "left").drop("_key")
+    key, gone_col = free("_key", pages), free("_gone", pages)
+    # the bound counts hashes, not rows
+    found = bounded(found.select(F.col("_key").alias(key), F.col("_gone").alias(gone_col)), found.agg(F.coalesce(F.sum(F.size("_gone") + 2), F.lit(0))).first()[0])
+    joined = _keyed(pages, url_col, html_col).join(found, key, "left").drop(key)
 
     def make():
         def read(urls, htmls, gone):
@@ -322,7 +346,7 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", ou
 
         return read
 
-    return add_columns(joined, [url_col, html_col, "_gone"], f"`{out_col}` string", make).drop("_gone")
+    return add_columns(joined, [url_col, html_col, gone_col], f"`{out_col}` string", make, drop=[gone_col])
 
 
 def report(pages: DataFrame) -> DataFrame:
