@@ -14,13 +14,15 @@ the block) and run against all documents; documents are never shuffled and never
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, grams, word_hashes
+from ..session import folders, remove, shared_dir
+from .common import add_columns, grams, stash, word_hashes
 
 SPAN = 10
 K = 4
@@ -39,21 +41,46 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at)
 
 
+class Words:
+    """Words of a text: hashes ``h``, and the words themselves with one space between (``plain``, each at ``at`` to ``to``)."""
+
+    def __init__(self, text: str | None):
+        self.h, starts, ends, low = word_hashes(text)
+        if len(self.h):
+            edge = np.zeros(len(low) + 1, np.int8)
+            edge[starts], edge[ends] = 1, -1
+            kept = np.cumsum(edge[:-1]).astype(bool)
+            inner = ends[:-1]
+            plain = low.copy()
+            plain[inner], kept[inner] = 32, True
+            place = np.concatenate(([0], np.cumsum(kept)))
+            self.plain, self.at, self.to = plain[kept].tobytes(), place[starts], place[ends]
+
+    def run(self, a: int, b: int) -> bytes:
+        return self.plain[self.at[a] : self.to[b - 1]]
+
+
+def near_runs(places: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """First and last of each run of ascending places that are at most ``gap`` apart."""
+    cut = np.flatnonzero(np.diff(places) > gap)
+    return list(zip(places[np.append(0, cut + 1)].tolist(), places[np.append(cut, len(places) - 1)].tolist(), strict=True))
+
+
 class Index:
     """Fingerprints of one block of items."""
 
     def __init__(self, items: list[tuple[str, str | None]], span: int = SPAN, k: int = K):
         self.span, self.k = span, min(k, span)
-        self.ids, self.words, self.texts, self.short = [], [], [], {}
+        self.ids, self.items, self.short = [], [], {}
         fp, owner, place = [], [], []
         for name, text in items:
-            h, s, e, low = word_hashes(text)
+            w = Words(text)
+            h = w.h
             if not len(h):
                 continue
             i = len(self.ids)
             self.ids.append(name)
-            self.words.append(h)
-            self.texts.append([low[a:b].tobytes() for a, b in zip(s, e, strict=True)])
+            self.items.append(w)
             if len(h) < span:
                 self.short.setdefault(len(h), {}).setdefault(int(grams(h, len(h))[0]), []).append(i)
                 continue
@@ -64,43 +91,62 @@ class Index:
             place.append(at)
         cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.empty(0, t)
         fp, owner, place = cat(fp, np.uint64), cat(owner, np.int64), cat(place, np.int64)
-        order = np.argsort(fp, kind="stable")
+        order = np.lexsort((place, owner, fp))
         self.fp, self.owner, self.place = fp[order], owner[order], place[order]
         self.short_keys = {m: np.array(sorted(x), np.uint64) for m, x in self.short.items()}
 
-    def _same(self, low, starts, ends, at: int, item: int, place: int, n: int) -> bool:
-        own = self.texts[item]
-        return all(low[starts[at + j] : ends[at + j]].tobytes() == own[place + j] for j in range(n))
+    def _diagonals(self, g: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each item that shares fingerprints: ranges of document minus item positions that hold all of those that match.
+
+        Where a fingerprint recurs closely (a word repeated over and over) its places count as runs, so that ranges
+        are made from few ends and not from all pairs of places; what a range holds beside the matches is compared in vain.
+        """
+        out: dict[int, list[tuple[int, int]]] = {}
+        lo, hi = np.searchsorted(self.fp, g, "left"), np.searchsorted(self.fp, g, "right")
+        known = np.flatnonzero(hi > lo)
+        known = known[np.argsort(g[known], kind="stable")]
+        for some in np.split(known, np.flatnonzero(np.diff(g[known])) + 1) if len(known) else ():
+            a, b = int(lo[some[0]]), int(hi[some[0]])
+            mine = near_runs(at[some], self.span)
+            owner = self.owner[a:b]
+            ends = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), b - a]
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                theirs = near_runs(self.place[a + x : a + y], self.span)
+                out.setdefault(int(owner[x]), []).extend((p - t, q - s) for p, q in mine for s, t in theirs)
+        return out
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, hit word ranges and the items that hit."""
-        h, starts, ends, low = word_hashes(text)
+        doc = Words(text)
+        h = doc.h
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
         if len(h) >= self.span and len(self.fp):
             g = grams(h, self.k)
             at = winnow(g, self.span - self.k + 1)
-            lo = np.searchsorted(self.fp, g[at], "left")
-            known = np.flatnonzero((lo < len(self.fp)) & (self.fp[np.minimum(lo, len(self.fp) - 1)] == g[at]))
-            if len(known):
-                hi = np.searchsorted(self.fp, g[at[known]], "right")
-                seen = {(int(self.owner[x]), int(at[p]) - int(self.place[x])) for p, b in zip(known, hi, strict=True) for x in range(lo[p], b)}
-                for item, shift in seen:
-                    own = self.words[item]
-                    a, b = max(0, shift), min(len(h), shift + len(own))
-                    eq = np.diff((h[a:b] == own[a - shift : b - shift]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
-                    for s, e in zip(np.flatnonzero(eq == 1), np.flatnonzero(eq == -1), strict=True):
-                        if e - s >= self.span and self._same(low, starts, ends, a + s, item, a + s - shift, e - s):
-                            spans.append((int(a + s), int(a + e)))
-                            items.add(item)
+            for item, ranges in self._diagonals(g[at], at).items():
+                w, found = self.items[item], []
+                own = w.h
+                for first, last in merged([(a, b + 1) for a, b in ranges]):
+                    for shift in range(first, last):
+                        a, b = max(0, shift), min(len(h), shift + len(own))
+                        if b - a < self.span:
+                            continue
+                        eq = np.diff((h[a:b] == own[a - shift : b - shift]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+                        s, e = np.flatnonzero(eq == 1), np.flatnonzero(eq == -1)
+                        long_ = e - s >= self.span
+                        found += [(int(a + x), int(a + y)) for x, y in zip(s[long_], e[long_], strict=True) if doc.run(a + x, a + y) == w.run(a + x - shift, a + y - shift)]
+                if found:
+                    items.add(item)
+                    spans += merged(found)
         for m, keys in self.short_keys.items():
             if len(h) >= m:
                 g = grams(h, m)
                 p = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                for x in np.flatnonzero(keys[p] == g):
+                for x in np.flatnonzero(keys[p] == g).tolist():
                     for item in self.short[m][int(g[x])]:
-                        if self._same(low, starts, ends, int(x), item, 0, m):
-                            spans.append((int(x), int(x) + m))
+                        if doc.run(x, x + m) == self.items[item].run(0, m):
+                            spans.append((x, x + m))
                             items.add(item)
         return len(h), merged(spans), items
 
@@ -116,24 +162,38 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks of bounded size, one block on the driver at a time."""
-    b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    """Items in blocks of bounded size, one block on the driver at a time; each is a folder of its own, so the benchmark is
+    read once."""
+    b = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     size = b.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    n = max(1, -(-int(size) * 2 // block_bytes) if size > block_bytes else 1)
+    if size <= block_bytes:
+        yield [(r.i, r.t) for r in b.distinct().collect()]
+        return
+    n = -(-int(size) * 2 // block_bytes)
+    spark = benchmark.sparkSession
+    path = f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}"
+    b.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n))).repartition("part").write.partitionBy("part").parquet(path)
+    folders(spark).append(path)
     for part in range(n):
-        own = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == part)
-        yield [("null" if r.i is None else r.i, r.t) for r in own.distinct().collect()]
+        own = spark.read.schema("i string, t string, part long").parquet(path).where(F.col("part") == part).select("i", "t")
+        items = [(r.i, r.t) for r in own.distinct().collect()]
+        if items:
+            yield items
+    remove(spark, [path])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with _n_words, _hits (array of [start, end) word ranges) and _items (ids as strings).
 
     Null and wordless texts have no words and no hits; repeated rows are judged each; equal item ids count
-    once; items without words match nothing; a null item id is called "null". Other columns pass through,
-    except that the three output names replace columns of the same name.
+    once; items without words match nothing; a null item id is called "null". An empty table gives no rows. Other columns
+    pass through, except that the three output names replace columns of the same name. Of several blocks each is run by
+    itself over what the one before it has written, so that a task holds the index of one block.
     """
-    out = docs
-    for at, items in enumerate(blocks_of(benchmark, item_col, item_text_col, block_bytes)):
+    out, at = docs, 0
+    for items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
+        if at:
+            out = stash(docs.sparkSession, out, "contamination")
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(sent=sent, at=at):
@@ -152,6 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             return judge
 
         out = add_columns(out, [text_col, "_hits", "_items"] if at else [text_col], COLUMNS, make)
+        at += 1
     return out
 
 
