@@ -3,7 +3,8 @@
 Turns of a conversation are laid end to end by their token counts; prefix sums choose the longest span of whole turns that
 fits what the budget leaves beside the system turn and the repeated history. Every window starts with the system turn, then
 repeats the last turns before it up to the history budget, then holds its new turns. Only new assistant texts are under the
-loss mask, so each is learned from once. A turn larger than the budget gets a window of its own and stays whole.
+loss mask, so each is learned from once. Repeated turns are dropped, the oldest first, where the next turn would not fit beside
+them; so only a window whose one new turn does not fit beside the system turn is over the budget, and stays whole.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. A control string starts with ``<|``; inside texts and roles ``<``,
 any backslashes and ``|`` get one backslash more, which unescaping takes away again.
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 BUDGET, HISTORY = 1024, 256
 #: Where the public vocabularies are; a parameter of :func:`formatted`.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -104,6 +107,9 @@ class _Conversation:
         # the turns waiting, and the prefix sum of their tokens, end where the next turn would not fit
         elif self.new and self.n_new + tokens > self._room():
             yield self._flush()
+        # repeated turns give way to a turn that fits without them
+        while not self.new and self.history and tokens > self._room():
+            self.held -= self.history.popleft()[2]
         self.new.append((role, text, tokens))
         self.n_new += 0 if self.system and not self.seen else tokens
         self.seen += 1
@@ -134,17 +140,24 @@ def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, vo
     """Windows of all conversations of ``turns`` (conv_id, turn, role, text), those of one in order in one partition.
 
     Null texts and roles are empty; null turns come first; turns of the same number are ordered by role and text, and
-    repeated rows are turns each; a null conv_id is a conversation. Extra columns are ignored.
+    repeated rows are turns each; a null conv_id is a conversation. An empty table gives no rows. Extra columns are ignored.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
     src = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def counted():
+        tokens = count(vocabulary)
+        return lambda texts: (tokens(texts),)
+
+    # tokens are counted where the rows are, before those of a conversation meet in one task
+    src = add_columns(src, ["text"], "n long", counted)
     src = src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
-        tokens, now, rows = count(vocabulary), None, []
+        now, rows = None, []
         for b in batches:
             roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
-            for conv, role, text, n in zip(b.column("conv_id").to_pylist(), roles, texts, tokens(texts), strict=True):
+            for conv, role, text, n in zip(b.column("conv_id").to_pylist(), roles, texts, b.column("n").to_pylist(), strict=True):
                 if now is None or conv != now.conv:
                     rows += now.end() if now else ()
                     now = _Conversation(conv, budget, history)

@@ -189,9 +189,11 @@ def test_urls():
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant"]) if t else "system", rng.choice(["<|im_end|>", "<\\|", "a b c " * 30, "", None])) for c in (1, 2, 3) for t in range(30)] + [(None, None, None, "x"), (4, 0, "assistant", "long " * 3000), (4, 0, "assistant", "long " * 3000)]
+    rows += [(5, t, ("user", "assistant")[t % 2] if t else "system", "w " * (20 if t else 3)) for t in range(12)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     w = chat.formatted(df, budget=100, history=40)
     assert w.where("n_tokens > 100 and n_new > 1").count() == 0 and w.where("n_repeated > 1").count() > 0
+    assert w.where("n_tokens > 100 and n_repeated > 1").count() == 0  # over the budget: one new turn, and the system turn at most
     for r in chat.read_back(w).collect():
         own = sorted(((t, a or "", b or "") for c, t, a, b in rows if c == r.conv_id), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
         assert r.n_turns == len(own) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in own).encode()).hexdigest()
