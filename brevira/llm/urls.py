@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free, stash
+
 #: The contract's entries as (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: Entries that one broadcast trie holds at most; it is built on the driver.
+#: Entries that one broadcast trie holds at most; it is built on the driver. More are judged in several passes.
 MAX_RULES = 1_000_000
 
 
@@ -71,26 +73,40 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
 
 
-def judged(pages: DataFrame, rules=None, url_col: str = "url", default: str = "allow") -> DataFrame:
+def judged(pages: DataFrame, rules=None, url_col: str = "url", default: str = "allow", most: int = MAX_RULES) -> DataFrame:
     """``pages`` with host, path, rule (null where none fits) and verdict (``default`` where none fits).
 
-    Every row is judged alone; columns of those four names are replaced.
+    Every row is judged alone, repeated ones too; an empty table gives no rows; columns of those four names are replaced, other
+    columns pass through. More than ``most`` rules are broadcast in several tries, one after the other over what was written
+    before, and the longest entry of all decides.
     """
-    rules = RULES if rules is None else rules
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; split them by top-level domain")
+    rules = RULES if rules is None else list(rules)
+    spark = pages.sparkSession
     pages = pages.drop("host", "path", "rule", "verdict")
-    sent = pages.sparkSession.sparkContext.broadcast(Trie(rules))
-
-    @F.pandas_udf("host string, path string, rule string, verdict string")
-    def judge(urls: pd.Series) -> pd.DataFrame:
-        trie, rows = sent.value, []
-        for u in urls:
-            host, path = split_url(u)
-            rows.append((host, path, *(trie.find(host, path) or (None, default))))
-        return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
-
-    return pages.withColumn("_j", judge(url_col)).select(*pages.columns, "_j.host", "_j.path", "_j.rule", "_j.verdict")
+    made = free("_made", pages)
+
+    def judge(part):
+        sent = spark.sparkContext.broadcast(Trie(part))
+
+        @F.pandas_udf("host string, path string, rule string, verdict string, labels int, length int")
+        def found(urls: pd.Series) -> pd.DataFrame:
+            trie, rows = sent.value, []
+            for u in urls:
+                host, path = split_url(u)
+                rule, verdict = trie.find(host, path) or (None, default)
+                own, _, start = (rule or "").partition("/")
+                rows.append((host, path, rule, verdict, -1 if rule is None else own.count(".") + bool(own), len(start)))
+            return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict", "labels", "length"])
+
+        return found(url_col)
+
+    out = pages.withColumn(made, judge(rules[:most]))
+    for i in range(most, len(rules), most):
+        other = free("_other", out)
+        rank = lambda c: F.struct(f"{c}.labels", f"{c}.length")
+        out = stash(spark, out, "judged").withColumn(other, judge(rules[i : i + most]))
+        out = out.withColumn(made, F.when(rank(other) >= rank(made), F.col(other)).otherwise(F.col(made))).drop(other)
+    return out.select(*[F.col(f"`{c}`") for c in pages.columns], *[F.col(f"{made}.{c}") for c in ("host", "path", "rule", "verdict")])
 
 
 SQL = r"""
