@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, free
 
 #: The base patterns of the contract and the lengths that their matches need.
 KINDS = ("assign", "access", "hex", "markov")
@@ -29,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Average log-likelihood ratio per character, and of the token, from which a token counts as random.
-PER_CHAR, WHOLE = 0.5, 14.0
+PER_CHAR, WHOLE = 0.6, 14.0
 
 #: Parts of a token between separators are judged too, from so many characters on.
 PART = re.compile(r"[A-Za-z0-9+]+")
@@ -76,8 +76,8 @@ def default_samples(seed: int = 11, n: int = 4000) -> list[tuple[str, int]]:
         letters = rng.choice([upper + lower + digit, upper + lower + digit + "+/", upper + lower + digit + "_-", digit + lower[:6], digit + upper[:6], upper + digit, lower + digit])
         out.append(("".join(rng.choice(letters) for _ in range(rng.randint(20, 64))) + "=" * rng.choice([0, 0, 0, 1, 2]), 1))
         words = [word() for _ in range(rng.randint(1, 6))]
-        style = rng.randrange(9)
-        s = ("_", "-", "/", "")[style % 4].join(words) if style < 4 else "".join(w.capitalize() for w in words) if style == 4 else ("_" if rng.random() < 0.5 else "").join(words).upper() if style == 5 else "".join(words).upper() if style == 8 else "".join(rng.choice(digit) for _ in range(rng.randint(4, 30))) if style == 6 else rng.choice("=-_") * rng.randint(8, 60)
+        style = rng.randrange(12)
+        s = ("_", "-", "/", "")[style % 4].join(words) if style < 4 else "".join(w.capitalize() for w in words) if style in (4, 9, 10, 11) else ("_" if rng.random() < 0.5 else "").join(words).upper() if style == 5 else "".join(words).upper() if style == 8 else "".join(rng.choice(digit) for _ in range(rng.randint(4, 30))) if style == 6 else rng.choice("=-_") * rng.randint(8, 60)
         out.append((s + rng.choice(["", "", "", str(rng.randint(0, 99))]), 0))
     return out
 
@@ -144,7 +144,8 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def scanned(docs: DataFrame, models: Models | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with _spans (array of kind, start, end). Null and empty texts have none; every row is judged alone."""
+    """``docs`` with _spans (array of kind, start, end). Null and empty texts have none; every row is judged alone, repeated ones
+    too, in time that grows as its length; an empty table gives no rows; a column called _spans is replaced, others pass through."""
     sent = docs.sparkSession.sparkContext.broadcast(models or train(default_samples()))
 
     def make():
@@ -177,15 +178,16 @@ def redact(text: str | None, spans: list[tuple[str, int, int]], mark: str = "[se
 
 
 def redacted(docs: DataFrame, models: Models | None = None) -> DataFrame:
-    """``docs`` with the secrets in ``text`` masked; n_chars, where there is such a column, follows the new text."""
-    names = docs.columns
+    """``docs`` with the secrets in ``text`` masked; n_chars, where there is such a column, follows the new text. Null texts stay
+    null; other columns pass through in their order, whatever their names."""
+    names, clean = docs.columns, free("_clean", docs)
     sent = docs.sparkSession.sparkContext.broadcast(models or train(default_samples()))
 
     def make():
         m = sent.value
         return lambda texts: ([redact(t, scan(t, m)) for t in texts],)
 
-    out = add_columns(docs, ["text"], "_clean string", make).drop("text").withColumnRenamed("_clean", "text").select(*names)
+    out = add_columns(docs, ["text"], f"{clean} string", make, drop=["text"]).withColumnRenamed(clean, "text").select(*[F.col(f"`{c}`") for c in names])
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
