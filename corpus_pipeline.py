@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevira.llm import decontaminate, jaccard, pieces, secrets, toxicity
-from brevira.llm.common import shared_dir, table
-from brevira.session import ship
+from brevira.llm.common import table
+from brevira.session import folders, remove, shared_dir, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +51,18 @@ STAGES = [
     ("pieces", encode),
 ]
 
-#: Learned scores, verified similarity classes and sampled pieces have no SQL; the stages are tested by brute force.
+#: Learned scores, verified similarity classes and sampled pieces have no SQL. ``tests/llm`` holds each stage against planted
+#: cases, and ``run`` against the stages one after the other.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(ship(spark), sf_dir, "documents")
+    """The last stage's rows. What a stage has read and staged is deleted as soon as its own rows are written."""
+    docs, before = table(ship(spark), sf_dir, "documents"), []
     for name, stage in STAGES:
+        others = set(folders(spark))
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        remove(spark, [*before, *(x for x in folders(spark) if x not in others)])
+        docs, before = spark.read.parquet(path), [path]
     return docs
