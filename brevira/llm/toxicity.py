@@ -58,14 +58,21 @@ def grams_of(text: str | None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.nd
     return first, last, out
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram rows in order, start of each word in them, its end) of a text."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram rows in order, start of each word in them, its end, hash of each word) of a text. All n-grams lie in words."""
     first, _, found = grams_of(text)
     at, rows = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(at, kind="stable")
     at, rows = at[order], rows[order]
     starts = np.searchsorted(at, first)
-    return rows, starts, np.append(starts[1:], len(rows))[: len(starts)]
+    ends = np.append(starts[1:], len(rows))[: len(starts)]
+    return rows, starts, ends, span_hashes(rows, starts, ends)
+
+
+def stretches(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places from each start to its end, one stretch after the other."""
+    n = ends - starts
+    return np.arange(int(n.sum())) + np.repeat(starts - np.cumsum(n) + n, n)
 
 
 def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,23 +142,35 @@ def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: in
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, (0.0, 0.0), float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
-    # the n-gram rows of a text are held once; its windows, one for each word, are places in them
-    held, spans, owner = [], [], []
+    # a text is held as its words' numbers, and each distinct word's n-gram rows are held once
+    number: dict[int, int] = {}
+    words, of_words, sizes = [], [], []
     of = np.zeros((2, 1 << BITS), np.int32)  # documents of each class by n-gram row
     for i, t in enumerate(texts):
-        rows, s, e = features(t)
-        held.append(rows.astype(np.int32))
+        rows, s, e, h = features(t)
         of[y[i], np.unique(rows)] += 1
-        a, b = windows(s, e)
-        spans.append(np.stack((a, b), axis=1)[b > a].astype(np.int32))
-        owner.append(np.full(len(spans[-1]), i, np.int32))
-    spans, owner = np.concatenate(spans), np.concatenate(owner)
-    cuts = np.searchsorted(owner, np.arange(len(held) + 1))  # windows of each text
+        own, at, which = np.unique(h, return_index=True, return_inverse=True)
+        known = len(number)
+        ids = np.array([number.setdefault(x, len(number)) for x in own.tolist()], np.int32)
+        new = at[ids >= known]
+        of_words.append(rows[stretches(s[new], e[new])].astype(np.int32))
+        sizes.append((e - s)[new])
+        words.append(ids[which])
+    del number
+    of_words, n_words = np.concatenate(of_words), np.array([len(w) for w in words])
+    word_end = np.cumsum(np.concatenate(sizes))
+    word_size = np.concatenate(sizes)
+    words = np.concatenate(words)
+    text_end = np.cumsum(n_words)
+    # windows: their documents and their first and last words
+    n_windows = np.where(n_words > 0, np.maximum(n_words - WINDOW + 1, 1), 0)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), n_windows)
+    window_end = np.cumsum(n_windows)
+    start = stretches(text_end - n_words, text_end - n_words + n_windows).astype(np.int32)
+    end = np.minimum(start + WINDOW, text_end[owner]).astype(np.int32)
+    clean = np.flatnonzero(y[owner] == 0).astype(np.int32)
     n_of = np.bincount(y, minlength=2)
 
-    def bag(i: int) -> np.ndarray:
-        return held[owner[i]][spans[i, 0] : spans[i, 1]]
-
     # rows of few documents say nothing; the others start from the log-odds of their documents
     learned = of.sum(axis=0) >= LEAST_DOCS
     odds = np.log((of[1] + SMOOTH) / (n_of[1] + 2 * SMOOTH)) - np.log((of[0] + SMOOTH) / (n_of[0] + 2 * SMOOTH))
@@ -165,8 +184,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: in
 
     def step(pick: np.ndarray, rate: float) -> None:
         nonlocal out, bias, seen_o, seen_b
-        ids = np.concatenate([bag(i) for i in pick])
-        size = spans[pick, 1] - spans[pick, 0]
+        held = words[stretches(start[pick].astype(np.int64), end[pick].astype(np.int64))]
+        ids = of_words[stretches(word_end[held] - word_size[held], word_end[held])]
+        size = np.add.reduceat(word_size[held], np.cumsum(end[pick] - start[pick]) - (end[pick] - start[pick]))
         at = np.concatenate(([0], np.cumsum(size)[:-1]))
         mean = np.add.reduceat(emb[ids], at, axis=0) / size[:, None]
         z = mean @ out + bias
@@ -195,25 +215,22 @@ def train(texts: list[str | None], labels: list[int], seed: int = 42, rounds: in
 
     def logits() -> tuple[np.ndarray, np.ndarray]:
         t = emb @ (out[:, 1] - out[:, 0])
-        z = np.empty(len(owner))
-        for rows, at, to in zip(held, cuts[:-1], cuts[1:], strict=True):
-            total = np.concatenate(([0.0], np.cumsum(t[rows], dtype=np.float64)))
-            a, b = spans[at:to, 0], spans[at:to, 1]
-            z[at:to] = (total[b] - total[a]) / (b - a)
-        return t, z + bias[1] - bias[0]
+        total = np.concatenate(([0.0], np.cumsum(np.add.reduceat(t[of_words], word_end - word_size, dtype=np.float64)[words])))
+        count = np.concatenate(([0], np.cumsum(word_size[words])))
+        return t, (total[end] - total[start]) / (count[end] - count[start]) + bias[1] - bias[0]
 
     # a toxic document's windows mostly are clean: it is represented by its highest one
-    for _ in range(rounds):
+    own = [(i, int(b - n), int(b)) for i, (n, b) in enumerate(zip(n_windows, window_end, strict=True)) if n]
+    for _ in range(rounds if own else 0):
         z = logits()[1]
-        by = np.lexsort((-z, owner))
-        place = pd.Series(by).groupby(owner[by]).cumcount().to_numpy()
-        toxic = y[owner[by]] == 1
-        top = by[toxic & (place < 1)]
-        hard = by[~toxic & (place < 2)]
-        epoch(np.concatenate((top, top, hard, rng.permutation(by[~toxic])[: len(hard)])), RATE)
+        top = np.array([a + int(z[a:b].argmax()) for i, a, b in own if y[i]], np.int64)
+        hard = np.concatenate([np.empty(0, np.int64), *(a + np.argpartition(-z[a:b], min(1, b - a - 1))[:2] for i, a, b in own if not y[i])])
+        other = clean[rng.integers(0, max(1, len(clean)), len(hard))].astype(np.int64)
+        epoch(np.concatenate((top, top, hard, other)), RATE)
+    if not own:
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, (0.0, 0.0), float(np.log(prior / (1 - prior))))
     table, z = logits()
-    ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
-    x, t = np.array([highest(w) for w in np.split(z, ends[:-1])]), y[owner[ends - 1]].astype(float)
+    x, t = np.array([highest(z[a:b]) for _, a, b in own]), y[[i for i, _, _ in own]].astype(float)
     slopes, shift = logistic(x, t)
     quiet = np.quantile(x[t == 0], 0.05, axis=0) if (t == 0).any() else (0.0, 0.0)
     return Model(table.astype(np.float32), float(bias[1] - bias[0]), tuple(map(float, slopes)), shift, tuple(map(float, quiet)))
