@@ -16,7 +16,8 @@ from ..functions.text import all_matches, sentences, strip
 from .classify import from_end, in_order
 
 EXTRACTABLE = ("TOOL_RESULT_TEXT", "TOOL_RESULT_JSON", "ERROR_TRACE", "CODE_BLOCK", "OLD_CONVERSATION", "ASSISTANT_REASONING")
-STRIDE = 1_000_000
+#: Order numbers of a row's facts: those of its calls' arguments come first, ``PER_CALL`` for each call, then those of its text.
+STRIDE, PER_CALL, TEXT_FACTS = 1_000_000_000_000, 1_000_000, 500_000_000_000
 
 
 def _facts(category: str, confidence: float, contents) -> Column:
@@ -119,12 +120,12 @@ def extracted(rows: DataFrame, arguments: bool = True) -> DataFrame:
     calls = F.coalesce(F.col("tool_calls"), F.array().cast("array<struct<id:string,type:string,name:string,arguments:string>>"))
     used = _facts("IDENTIFIERS", 0.9, F.transform(F.filter(calls, lambda x: F.coalesce(x["name"], F.lit("")) != ""), lambda x: F.concat(F.lit("Tool used: "), x["name"])))
     own = F.concat(F.when(F.col("role") == "assistant", decisions(c)).otherwise(none), used, F.when(F.col("ctype").isin(*EXTRACTABLE), text_facts(c, F.col("name"), F.col("turn"))).otherwise(none))
-    each = r.select("conv_id", "_p", "turn", F.posexplode(own).alias("pos", "f")).select("conv_id", (F.col("_p") * STRIDE + F.col("pos") + 1000).cast("long").alias("seq"), "f.category", "f.content", "turn", "f.confidence")
+    each = r.select("conv_id", "_p", "turn", F.posexplode(own).alias("pos", "f")).select("conv_id", (F.col("_p").cast("long") * STRIDE + F.col("pos") + TEXT_FACTS).cast("long").alias("seq"), "f.category", "f.content", "turn", "f.confidence")
     out = first.unionByName(last).unionByName(each)
     if arguments:
         a = r.where(F.size(calls) > 0).select("conv_id", "_p", "turn", F.posexplode("tool_calls").alias("k", "t")).where(F.length("t.arguments") > 2)
         a = a.select("conv_id", "_p", "turn", "k", F.posexplode(_argument_facts("t.arguments", "t.name", "turn")).alias("pos", "f"))
-        out = out.unionByName(a.select("conv_id", (F.col("_p") * STRIDE + F.col("k") * 20 + F.col("pos")).cast("long").alias("seq"), "f.category", "f.content", "turn", "f.confidence"))
+        out = out.unionByName(a.select("conv_id", (F.col("_p").cast("long") * STRIDE + F.col("k").cast("long") * PER_CALL + F.col("pos")).cast("long").alias("seq"), "f.category", "f.content", "turn", "f.confidence"))
     w = Window.partitionBy("conv_id", F.sha2("content", 256)).orderBy("seq")
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

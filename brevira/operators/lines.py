@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import constants as K
@@ -72,13 +79,71 @@ def truncated(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
     return lines.withColumn("line", F.when((F.col("_n") > most) & (F.col("_k") == half + 1), marker).otherwise(F.col("line"))).drop("_k", "_n")
 
 
+_STRIP, _DIGITS = " \t\n\x0b\f\r", re.compile(r"[0-9]+")
+_QUOTED = re.compile("['\"][^\n\r\u0085\u2028\u2029]*?['\"]")
+_PATH = re.compile(K.PATH, re.ASCII)
+
+
+def _bits(s: str) -> float:
+    n = len(s)
+    return round(-sum(k / n * math.log2(k / n) for k in Counter(s).values()), 9)
+
+
+def _without_blank_runs(lines: list[str]) -> list[str]:
+    return [x for i, x in enumerate(lines) if x.strip(_STRIP) or not i or lines[i - 1].strip(_STRIP)]
+
+
+def _informative(line: str, threshold: float) -> bool:
+    s = line.strip(_STRIP)
+    return not s or _DIGITS.search(s) is not None or _PATH.search(s) is not None or _bits(s) >= threshold
+
+
+def _shape(line: str) -> str:
+    return _QUOTED.sub("STR", _DIGITS.sub("#", line.strip(_STRIP)))
+
+
+def first_pass(text: str, threshold: float, run: int = RUN) -> str:
+    """:func:`blank_runs`, :func:`low_entropy` and :func:`repeated` on one text."""
+    lines = [x for x in _without_blank_runs(text.split("\n")) if _informative(x, threshold)]
+    out: list[str] = []
+    for shape, own in itertools.groupby(lines, _shape):
+        group = list(own)
+        out += group if len(group) <= run or not shape else [*group[:run], f"[... {len(group) - run} similar lines omitted ...]"]
+    return "\n".join(out)
+
+
+def second_pass(text: str, most: int = MOST_LINES) -> str:
+    """:func:`blank_runs` and :func:`truncated` on one text."""
+    lines, half = _without_blank_runs(text.split("\n")), most // 2
+    if len(lines) > most:
+        lines = [*lines[:half], f"[... {len(lines) - most} lines omitted — showing first {half} and last {half} lines ...]", *lines[len(lines) - half :]]
+    return "\n".join(lines)
+
+
+@F.pandas_udf(StringType())
+def _first(texts: pd.Series, thresholds: pd.Series) -> pd.Series:
+    return pd.Series([first_pass(t, x) for t, x in zip(texts, thresholds, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def _second(texts: pd.Series) -> pd.Series:
+    return pd.Series([second_pass(t) for t in texts], dtype=object)
+
+
 def cleaned(rows: DataFrame, threshold: float | Column = 1.8) -> DataFrame:
-    """All line rules in their order; rows of other policies stay as they are."""
-    if isinstance(threshold, Column):
-        lines, threshold = exploded(rows.withColumn("_least", threshold), "_least"), F.col("_least")
-    else:
-        lines = exploded(rows)
-    text = joined(repeated(low_entropy(blank_runs(lines), threshold)))
+    """All line rules in their order; rows of other policies stay as they are.
+
+    Every rule is local to a row, so rows are not shuffled: one pass in Arrow batches, the patterns of boilerplate inside the
+    engine, and a second pass.
+    """
+    least = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    text = _second(without_boilerplate(_first("content", least.cast("double"))))
+    return rows.withColumn("content", F.when(F.col("policy").isin(*POLICIES), text).otherwise(F.col("content")))
+
+
+def cleaned_by_lines(rows: DataFrame, threshold: float = 1.8) -> DataFrame:
+    """:func:`cleaned` as a chain of the single rules over exploded lines, to hold it against."""
+    text = joined(repeated(low_entropy(blank_runs(exploded(rows)), threshold)))
     again = text.select(*KEY, F.posexplode(F.split(without_boilerplate(F.col("text")), "\n")).alias("pos", "line"))
     new = joined(truncated(blank_runs(again)))
     return rows.join(new, KEY, "left").withColumn("content", F.when(F.col("policy").isin(*POLICIES), F.coalesce("text", F.lit(""))).otherwise(F.col("content"))).drop("text")

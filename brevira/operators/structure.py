@@ -77,19 +77,27 @@ def python_signatures(code: str) -> str | None:
 
 _JS = re.compile(r"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:class\s+\w+|function\s*\w*\s*\(|(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?\()")
 _PY = re.compile(r"^\s*(?:async\s+def|def|class)\s+\w+")
+_FENCE = re.compile(r"(```\w*\n)([\s\S]*?)(```)")
 _IMPORT = re.compile(r"^\s*(?:import\b|from\s+\S+\s+import\b|(?:const|let|var)\s+.+=\s*require\()")
 
 
-def signatures(code: str) -> str:
-    """Signatures of code, from its syntax tree or else line by line; code without any stays as it is."""
-    fenced = re.search(r"```\w*\n([\s\S]*?)```", code)
-    body = fenced[1] if fenced else code
+def _signed(body: str) -> str | None:
+    """Signatures of one piece of code; None if it has none."""
     found = python_signatures(body)
     if found is None:
         lines = body.split("\n")
         js = any(_JS.match(x) for x in lines) and not any(_PY.match(x) for x in lines)
         picked = [x.rstrip() if _IMPORT.match(x) else x.rstrip().rstrip("{").rstrip() + (" { ... }" if js else "  ...") for x in lines if _IMPORT.match(x) or (_JS if js else _PY).match(x)]
         found = "\n".join(dict.fromkeys(picked)) if any((_JS if js else _PY).match(x) for x in lines) else None
+    return found
+
+
+def signatures(code: str) -> str:
+    """Signatures of code, from its syntax tree or else line by line; code without any, or not longer, stays as it is. In a
+    text with fences the code of each is rewritten in its place, and the text around them stays."""
+    if "```" in code and _FENCE.search(code):
+        return _FENCE.sub(lambda m: m[1] + (found.rstrip("\n") + "\n" if (found := _signed(m[2])) is not None and len(found) < len(m[2]) else m[2]) + m[3], code)
+    found = _signed(code)
     return code if found is None or len(found) >= len(code) else found
 
 

@@ -538,7 +538,12 @@ d AS (SELECT r.*, (idx % 7) / 7.0::DOUBLE AS rel, sum(tokens) OVER (PARTITION BY
 p AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id, drp ORDER BY rel, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
 SELECT conv_id, idx, role FROM p WHERE NOT (drp AND total > 6000 AND total - before > 6000)""",
     "orphans": f"WITH messages AS ({VIEW}), c AS (SELECT DISTINCT conv_id, call_id AS id FROM messages WHERE call_id IS NOT NULL), r AS (SELECT DISTINCT conv_id, tool_call_id AS id FROM messages WHERE tool_call_id IS NOT NULL) SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.id, r.id) AS id, CASE WHEN c.id IS NULL THEN 'result' ELSE 'call' END AS side FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.id = r.id WHERE c.id IS NULL OR r.id IS NULL",
-    "tool_integrity": f"WITH messages AS ({VIEW}) SELECT conv_id, idx, cast(EXISTS (SELECT 1 FROM messages r WHERE r.conv_id = m.conv_id AND r.tool_call_id = m.call_id) AS bigint) AS n_calls FROM messages m WHERE tool_call_id IS NULL OR EXISTS (SELECT 1 FROM messages c WHERE c.conv_id = m.conv_id AND c.call_id = m.tool_call_id)",
+    "tool_integrity": f"""WITH messages AS ({VIEW}), rs AS (SELECT DISTINCT conv_id, tool_call_id AS id FROM messages WHERE tool_call_id IS NOT NULL), cs AS (SELECT DISTINCT conv_id, call_id AS id FROM messages WHERE call_id IS NOT NULL)
+SELECT m.conv_id, m.idx, cast(rs.id IS NOT NULL AS bigint) AS n_calls FROM messages m LEFT JOIN rs ON rs.conv_id = m.conv_id AND rs.id = m.call_id LEFT JOIN cs ON cs.conv_id = m.conv_id AND cs.id = m.tool_call_id WHERE m.tool_call_id IS NULL OR cs.id IS NOT NULL""",
+    "decision_log": _MSG
+    + rf""", h AS (SELECT *, {_HASH.format("content")} AS h FROM wrk WHERE {_LOCK}), f AS (SELECT *, min(idx) OVER (PARTITION BY conv_id, h) AS fst FROM h),
+n AS (SELECT *, '[' || coalesce(name, 'content') || ' was read earlier in this session. Content unchanged. See message #' || fst || '.]' AS note FROM f WHERE fst < idx)
+SELECT conv_id, 'dedup' AS layer, 'changed' AS action, idx, tokens AS tokens_before, cast(ceil(length(note) / 3.5::DOUBLE) AS bigint) AS tokens_after FROM n WHERE note <> content""",
     "report": f"WITH messages AS ({VIEW}), t AS (SELECT *, cast(ceil(length(content) / 3.5::DOUBLE) AS bigint) AS k FROM messages), s AS (SELECT conv_id, count(*) AS rows_in, cast(sum(k) AS bigint) AS tokens_in, count(CASE WHEN idx % 3 <> 0 THEN 1 END) AS rows_out, cast(coalesce(sum(CASE WHEN idx % 3 <> 0 THEN k END), 0) AS bigint) AS tokens_out FROM t GROUP BY 1) SELECT *, tokens_in - tokens_out AS saved, CASE WHEN tokens_out > 0 THEN round(tokens_in / tokens_out::DOUBLE, 6) WHEN tokens_in > 0 THEN 'inf'::DOUBLE ELSE 1.0::DOUBLE END AS ratio, round((tokens_in - tokens_out) / 1000.0::DOUBLE * 0.003::DOUBLE, 6) AS cost_saved FROM s",
     "ledger_facts": _FACTS,
     "reasoning_chains": _MSG + f", c AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN idx END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dst FROM rws) SELECT conv_id, idx AS src, dst FROM c WHERE regexp_matches(content, {_q(K.CHAIN)}) AND dst IS NOT NULL",
