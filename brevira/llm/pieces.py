@@ -36,7 +36,7 @@ LITERAL = 0x110001
 CHARS = 400_000
 #: Lattice nodes that a task keeps (about 55 bytes each), and cells (8 bytes) of the lattices that are made at a time; one
 #: part alone may have more.
-HELD, CELLS = 1_500_000, 2_000_000
+HELD, CELLS = 1_000_000, 1_000_000
 #: Parts up to which the last steps of a walk are taken one part after the other, and steps whose numbers are made at once.
 FEW, RUN = 4, 64
 #: Steps of a region whose keys are always made, and a bound of ``_uniform``'s Gumbels (37.5).

@@ -387,6 +387,7 @@ def test_pipeline_stages_and_columns(spark):
 def test_pipeline_runs_its_stages_in_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, SF).toPandas().astype({"text": str}), stage(spark, docs, SF).schema)
+        out = stage(spark, docs, SF)
+        docs = spark.createDataFrame(out.collect(), out.schema)
     want = {(r.doc_id, r.text, tuple(bytes(x.ids) for x in r.samples)) for r in docs.collect()}
     assert {(r.doc_id, r.text, tuple(bytes(x.ids) for x in r.samples)) for r in corpus_pipeline.run(spark, SF).collect()} == want
