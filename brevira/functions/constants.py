@@ -93,6 +93,10 @@ CHAIN = r"(?i)\b(?:therefore|so we can|which means|building on that|given that|a
 HIGH_VALUE = ("Tracking:", "Date:", "Statute:", "Amount:", "Metric:", "ID:", "UUID:", "URL:")
 FACT_LABELS = ("Tool used: ", "Code entity: ", "Reference: ")
 
+# What a summary must keep.
+SUMMARY_PATH = r"(?:[\p{L}\p{N}_.\-]+[/\\])+[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]{1,10}(?::\d+)?"
+SUMMARY_ERROR = r"(TypeError|ReferenceError|SyntaxError|ValueError|KeyError|AttributeError|ImportError|RuntimeError|Error):\s*.{10,100}"
+
 # Questions, deliberations, resolutions, corrections.
 ARC_QUESTION = r"(?i)\bwhich (?:one|approach|option)\b|\bhow (?:to|should|do)\b|\bwhat (?:about|if)\b"
 DELIBERATION = r"(?i)\balternatively\b|\bon (?:one|the other) hand\b|\bpros and cons\b|\boption [A-Z]\b|\bcould (?:also |either )?use\b|\bvs\.?\b|\bcompare\b|\btradeoff\b"

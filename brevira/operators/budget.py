@@ -98,7 +98,8 @@ def head_tail(c, strings=None) -> Column:
 
 def effective(budget: int | Column, zone_tokens) -> Column:
     """What zones 1 and 2 leave of a budget, 100 at least."""
-    return F.greatest(F.lit(100), F.lit(budget) - F.coalesce(zone_tokens, F.lit(0)))
+    own = budget if isinstance(budget, Column) else F.lit(budget)
+    return F.greatest(F.lit(100).cast("long"), own - F.coalesce(zone_tokens, F.lit(0)))
 
 
 def within(rows: DataFrame, budgets: DataFrame, edges: DataFrame | None = None, critical: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:

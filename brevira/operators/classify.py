@@ -85,6 +85,13 @@ def classified(messages: DataFrame, recent_turns: int | Column = 2, overrides: d
     )
 
 
+def unclassified(messages: DataFrame) -> DataFrame:
+    """:func:`classified` where no rule can be applied: every zone-3 row is old conversation."""
+    types = {"ctype": F.lit("OLD_CONVERSATION"), "policy": F.lit("MODERATE"), "protected": F.lit(False)}
+    rest = {"tokens": token_count(F.col("content")), "relevance": F.lit(0.5), "importance": F.lit(0.5), "shield": F.lit("MODERATE")}
+    return zones(messages).where("zone = 3").withColumns(types | rest)
+
+
 def class_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id", "ctype").agg(F.count("*").alias("n_rows"), F.sum("tokens").alias("n_tokens"), F.sum(F.col("protected").cast("long")).alias("n_protected"))
 

@@ -53,6 +53,8 @@ class Config:
     reorder: bool = False
     summarise: bool = False
     mask: bool = False
+    model_facts: bool = False
+    model_scores: bool = False
     price: float = DEFAULT_PRICE
     model: str | None = None
     tier: str | None = None

@@ -7,6 +7,7 @@ In: (conv_id, idx, body) to message rows; the body's place in its conversation i
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from ..session import staged
 from .messages import CALLS, shaped
 
 SPREAD = 100
@@ -192,6 +194,14 @@ def wrapped(records: DataFrame, framework: str, run) -> DataFrame:
     return out(run(into(records)))
 
 
+def automatic(records: DataFrame, run) -> DataFrame:
+    """:func:`wrapped` with the format of each conversation found by :func:`detected`; ``run`` sees all conversations at once."""
+    kinds = staged(detected(records))
+    own = lambda df, name: df.join(kinds.where(F.col("framework") == name).select("conv_id"), "conv_id", "left_semi")
+    done = run(reduce(DataFrame.unionByName, [into(own(records, name)) for name, (into, _) in ADAPTERS.items()]))
+    return reduce(DataFrame.unionByName, [out(own(done, name)) for name, (_, out) in ADAPTERS.items()])
+
+
 def transcript(lines: DataFrame) -> DataFrame:
     """Messages from JSON lines (conv_id, idx, value); bad lines and unknown roles are skipped."""
     r = lines.withColumn("m", F.from_json("value", "role string, type string, message struct<role:string,content:string>, content string"))
