@@ -283,23 +283,13 @@ def signals(spark, sf_dir):
 
 
 def _round_trip(name):
-    def query(spark, sf_dir):
-        into, out = A.ADAPTERS[name]
-        back = into(out(derived(spark, sf_dir).where("idx >= 500")))
-        return back.select("conv_id", F.floor(F.col("idx") / A.SPREAD).cast("long").alias("idx"), "role", F.sha2("content", 256).alias("content_sha256"), "tool_call_id")
-
-    query.__name__ = f"adapter_{name}"
-    return query
-
-
-def _whole_round_trip(name):
     def query(spark, sf_dir):
         into, out = A.ADAPTERS[name]
         back = into(out(derived(spark, sf_dir)))
         calls = F.array_join(F.transform("tool_calls", lambda x: F.concat_ws(":", x["id"], x["name"], x["arguments"])), ",")
         return back.select("conv_id", F.floor(F.col("idx") / A.SPREAD).cast("long").alias("idx"), "role", F.sha2("content", 256).alias("content_sha256"), "tool_call_id", F.coalesce(calls, F.lit("")).alias("calls"))
 
-    query.__name__ = f"adapter_whole_{name}"
+    query.__name__ = f"adapter_{name}"
     return query
 
 
@@ -346,7 +336,7 @@ QUERIES = {
         chunk_dedup, coalesce_runs, lines_blank, lines_entropy, lines_repeated, lines_truncated, lines_boilerplate, lines_cleaned, rereads, observation_masks, token_idf, token_idf_merged,
         token_prune, json_and_signatures, phase, importance, shields, query_relevance, relevance_prune, discourse, task_scores, budget_drop, budget_full, reorder, orphans, tool_integrity,
         report, decision_log, ledger, ledger_facts, ledger_text, critical_strings, protected_strings, reasoning_chains, question_arcs, supersessions, signals,
-        *map(_round_trip, A.ADAPTERS), *map(_whole_round_trip, A.ADAPTERS), detect_framework, transcript, compress_report, compress_windows, session_stream,
+        *map(_round_trip, A.ADAPTERS), detect_framework, transcript, compress_report, compress_windows, session_stream,
     )
 }
 
@@ -417,10 +407,6 @@ tw AS (SELECT conv_id, idx, token, n / sum(n) OVER (PARTITION BY conv_id, idx) *
 
 
 def _round_sql() -> str:
-    return f"WITH messages AS ({VIEW}) SELECT conv_id, idx, role, sha256(content) AS content_sha256, tool_call_id FROM messages WHERE idx >= 500"
-
-
-def _whole_round_sql() -> str:
     return f"WITH messages AS ({VIEW}) SELECT conv_id, idx, role, sha256(content) AS content_sha256, tool_call_id, coalesce(call_id || ':read_file:{{}}', '') AS calls FROM messages"
 
 
@@ -553,7 +539,6 @@ SELECT conv_id, 'dedup' AS layer, 'changed' AS action, idx, tokens AS tokens_bef
     + """, a AS (SELECT conv_id, count(*) AS questions, sum((resolution IS NOT NULL)::int) AS resolved FROM arcs GROUP BY 1), s AS (SELECT conv_id, sum((reason = 'correction')::int) AS correction, sum((reason = 'status_update')::int) AS status_update, sum((reason = 'refinement')::int) AS refinement FROM sup GROUP BY 1)
 SELECT coalesce(a.conv_id, s.conv_id) AS conv_id, cast(coalesce(questions, 0) AS bigint) AS questions, cast(coalesce(resolved, 0) AS bigint) AS resolved, cast(coalesce(correction, 0) AS bigint) AS correction, cast(coalesce(status_update, 0) AS bigint) AS status_update, cast(coalesce(refinement, 0) AS bigint) AS refinement, cast(coalesce(questions, 0) - coalesce(resolved, 0) AS bigint) AS unresolved FROM a FULL JOIN s ON a.conv_id = s.conv_id""",
     **{f"adapter_{n}": _round_sql() for n in A.ADAPTERS},
-    **{f"adapter_whole_{n}": _whole_round_sql() for n in A.ADAPTERS},
     "transcript": f"WITH messages AS ({VIEW}) SELECT conv_id, idx, role, sha256(content) AS content_sha256 FROM messages WHERE idx % 17 <> 0 AND idx % 19 <> 0",
 }
 

@@ -142,7 +142,7 @@ def test_adapters_keep_every_row_and_call(spark):
     for name, (into, out) in A.ADAPTERS.items():
         assert {(r.idx // A.SPREAD, r.role, r.content, r.tool_call_id, str(r.tool_calls)) for r in into(out(m)).collect()} == want
         assert A.detected(out(m)).first().framework == name
-        back = QUERIES[f"adapter_whole_{name}"](spark, sf)
+        back = QUERIES[f"adapter_{name}"](spark, sf)
         assert back.count() == n and back.where("calls <> ''").count() == n_calls > 0
 
 
