@@ -65,6 +65,28 @@ def test_lines_cut_as_the_engine_cuts(texts):
     assert texts.where(I.heavy_prune(F.col("content")) != plain).count() == 0
 
 
+def test_pruned_texts_against_tables_of_words(texts):
+    from brevira.operators import tokens as T
+
+    rows = texts.withColumn("policy", F.when(F.col("idx") % 9 == 0, "PRESERVE").otherwise("MODERATE"))
+    needles = texts.select("conv_id").distinct().withColumn("needles", F.array(F.lit("IF"), F.lit("é"), F.lit("zz")))
+    for ratio in (0.5, F.when(F.col("idx") % 2 == 0, 0.2).otherwise(0.9)):
+        quick = T.pruned(rows, ratio, needles=needles).select("conv_id", "idx", F.col("content").alias("new"))
+        plain = T.pruned(rows, ratio, T.idf(rows), needles)
+        assert quick.join(plain, ["conv_id", "idx"]).where("new = content").count() == texts.count()
+    plan = quick._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no table of all words
+
+
+def test_rows_beyond_memory_are_read_again():
+    from brevira.operators.tokens import _Spool
+
+    s = _Spool(10)
+    for i in range(9):
+        s.add((i, "x" * i), i)
+    assert s.file is not None and list(s) == [(i, "x" * i) for i in range(9)]
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
 def test_relevance_prune_reads_its_texts_a_few_times(spark):
     from brevira.plans.queries import relevance_prune
